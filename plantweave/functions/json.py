@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 
 def quoted(text: Column) -> Column:
     """JSON string literal of a text column, NULL for NULL."""
-    as_array = F.to_json(F.array(text))
-    literal = F.substring(as_array, F.lit(2), F.length(as_array) - 2)
-    return F.when(text.isNotNull(), literal)
+    # The literal starts and ends with a quote, so only the list brackets are trimmed.
+    return F.when(text.isNotNull(), F.btrim(F.to_json(F.array(text)), F.lit("[]")))
 
 
 def or_null(json: Column) -> Column:

@@ -104,7 +104,7 @@ def held_for(holding: DataFrame, keys: list[str], step_ms: int, for_ms: Column |
     """Steps at which the condition has held without a break for ``for_ms``."""
     for_ms = for_ms if isinstance(for_ms, Column) else F.lit(for_ms)
     over = Window.partitionBy(*keys).orderBy("ts")
-    island = F.col("ts") - F.row_number().over(over) * step_ms
+    island = F.col("ts") - F.row_number().over(over).cast("bigint") * step_ms
     marked = holding.withColumn("_island", island)
     start = F.min("ts").over(Window.partitionBy(*keys, "_island"))
     return (

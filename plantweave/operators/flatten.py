@@ -158,9 +158,6 @@ def submodel_assets(documents: DataFrame) -> DataFrame:
 
 def _submodel_rows(documents: DataFrame) -> DataFrame:
     field = lambda path: F.expr(f"try_variant_get(sm, '$.{path}', 'string')")
-    exploded = F.posexplode(
-        F.expr("try_variant_get(doc, '$.submodels', 'array<variant>')")
-    ).alias("sm_pos", "sm")
     first_key = F.expr(
         "get(filter(transform(try_variant_get(sm, '$.semanticId.keys', "
         "'array<struct<value:string>>'), k -> k.value), v -> v is not null), 0)"
@@ -172,12 +169,16 @@ def _submodel_rows(documents: DataFrame) -> DataFrame:
         "'array<struct<keys:array<struct<value:string>>>>'), array()), r -> named_struct("
         "'submodel', get(r.keys, 0).value, "
         "'asset', nullif(try_variant_get(s, '$.assetInformation.globalAssetId', 'string'), '')))))"
-    ).alias("links")
+    )
     asset = F.expr(
         "try_element_at(filter(links, l -> l.asset is not null "
         "and l.submodel = try_variant_get(sm, '$.id', 'string')), -1).asset"
     )
-    return documents.select("source", "event_ts", links, exploded).select(
+    members = F.expr("try_variant_get(doc, '$.submodels', 'array<variant>')")
+    # Only the links travel with each submodel, not the whole document.
+    parts = documents.select("source", "event_ts", links.alias("links"), members.alias("members"))
+    exploded = F.posexplode("members").alias("sm_pos", "sm")
+    return parts.select("source", "event_ts", "links", exploded).select(
         "source",
         "event_ts",
         "sm_pos",
@@ -199,7 +200,7 @@ def flatten_documents(
 ) -> DataFrame:
     """Metric rows of parsed documents; submodels without a name are skipped.
 
-    ``documents`` has source, event_ts and doc (a variant).
+    ``documents`` has source, event_ts and doc (a variant, NULL when quarantined).
     """
     named = _submodel_rows(documents).filter(F.coalesce(F.col("submodel"), F.lit("")) != "")
     linked = named.withColumn("leaf", F.explode(walk("sm", "submodel", language, max_depth)))

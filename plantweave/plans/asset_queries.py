@@ -437,17 +437,20 @@ def _rules_sql() -> str:
     steps AS (SELECT DISTINCT ts FROM grid),
     vals AS (
       SELECT r.rule, r.severity, r.for_ms, r.terms, r.term, r.op, r.threshold, c.instance, s.ts,
-        CASE r.kind WHEN 'increase' THEN CAST(sum(n) AS DOUBLE) ELSE sum(n) / (any_value(r.range_ms) / 1000.0::DOUBLE) END AS value
+        CASE r.kind WHEN 'increase' THEN CAST(sum(n) AS DOUBLE) ELSE sum(n) / (r.range_ms / 1000.0::DOUBLE) END AS value
       FROM rules r JOIN ctr c ON c.name = r.metric AND (r.label IS NULL OR r.label = c.label) AND c.rn > 1
-      JOIN steps s ON s.ts >= c.ts AND s.ts < c.ts + greatest(r.range_ms, {HOUR_MS}) WHERE r.kind IN ('increase', 'rate') GROUP BY ALL, r.kind
+      JOIN steps s ON s.ts >= c.ts AND s.ts < c.ts + greatest(r.range_ms, {HOUR_MS}) WHERE r.kind IN ('increase', 'rate')
+      GROUP BY r.rule, r.severity, r.for_ms, r.terms, r.term, r.kind, r.op, r.threshold, r.range_ms, c.instance, s.ts
       UNION ALL
       SELECT r.rule, r.severity, r.for_ms, r.terms, r.term, r.op, r.threshold, c.instance, s.ts,
         sum(n) FILTER (c.name = r.metric) / nullif(CAST(sum(n) AS DOUBLE), 0)
       FROM rules r JOIN ctr c ON c.name IN ('semantic_cache_hits_total', 'semantic_cache_misses_total') AND c.rn > 1
-      JOIN steps s ON s.ts >= c.ts AND s.ts < c.ts + greatest(r.range_ms, {HOUR_MS}) WHERE r.kind = 'ratio' GROUP BY ALL
+      JOIN steps s ON s.ts >= c.ts AND s.ts < c.ts + greatest(r.range_ms, {HOUR_MS}) WHERE r.kind = 'ratio'
+      GROUP BY r.rule, r.severity, r.for_ms, r.terms, r.term, r.op, r.threshold, c.instance, s.ts
       UNION ALL
       SELECT r.rule, r.severity, r.for_ms, r.terms, r.term, r.op, r.threshold, g.instance, g.ts, CASE WHEN r.op = '<' THEN min(value) ELSE max(value) END
-      FROM rules r JOIN gauges g ON g.name = r.metric WHERE r.kind = 'gauge' GROUP BY ALL),
+      FROM rules r JOIN gauges g ON g.name = r.metric WHERE r.kind = 'gauge'
+      GROUP BY r.rule, r.severity, r.for_ms, r.terms, r.term, r.op, r.threshold, g.instance, g.ts),
     hold AS (SELECT rule, severity, for_ms, instance, ts FROM vals WHERE CASE op WHEN '>' THEN value > threshold WHEN '<' THEN value < threshold ELSE value = threshold END
       GROUP BY rule, severity, for_ms, terms, instance, ts HAVING count(*) = terms),
     isl AS (SELECT *, ts - row_number() OVER (PARTITION BY rule, instance ORDER BY ts) * {HOUR_MS} AS isl FROM hold),

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from plantweave.plans import asset_queries, drift_queries, mapping_queries, semantic_queries  # noqa: F401
+from plantweave.plans import (  # noqa: F401
+    asset_queries,
+    document_queries,
+    drift_queries,
+    mapping_queries,
+    message_queries,
+    semantic_queries,
+)
 from plantweave.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

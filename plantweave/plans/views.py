@@ -408,107 +408,105 @@ def first_quantities(lineitem: DataFrame, n: int = 5) -> DataFrame:
     return spread.join(few, "l_partkey")
 
 
-def documents_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One asset document per part, nested up to four levels; some are broken."""
-    part = table(spark, sf_dir, "part")
-    lines = first_quantities(table(spark, sf_dir, "lineitem"))
-    joined = part.join(lines, part.p_partkey == lines.l_partkey, "left")
-    key = F.col("p_partkey").cast("string")
-    q = quoted
+def _documents_sql() -> str:
+    """SQL expression for the document of a part row."""
+
+    def text(expr: str) -> str:
+        return f"btrim(to_json(array({expr})), '[]')"
 
-    def element(kind: str, name: str | None, *fields: tuple[str, Column]) -> Column:
-        head = [("modelType", q(F.lit(kind)))] + ([("idShort", q(F.lit(name)))] if name else [])
-        return json_object(*head, *fields)
+    def obj(*fields: tuple[str, str]) -> str:
+        entries = ", ".join(f"'\"{key}\": ' || {value}" for key, value in fields)
+        return f"concat('{{', concat_ws(', ', {entries}), '}}')"
 
-    def array_of(*items: Column) -> Column:
-        return F.concat(F.lit("["), F.concat_ws(",", *items), F.lit("]"))
+    def arr(*items: str) -> str:
+        return f"concat('[', concat_ws(',', {', '.join(items)}), ']')"
 
-    def prop(name: str | None, value_type: str, value: Column, *more: tuple[str, Column]) -> Column:
-        return element("Property", name, ("valueType", q(F.lit(value_type))), ("value", value), *more)
+    def word(value: str) -> str:
+        return f"'\"{value}\"'"
 
-    def ref(*values: Column) -> Column:
-        keys = [json_object(("type", q(F.lit("GlobalReference"))), ("value", q(v))) for v in values]
-        return json_object(("type", q(F.lit("ExternalReference"))), ("keys", array_of(*keys)))
+    def element(kind: str, name: str | None, *fields: tuple[str, str]) -> str:
+        named = [("idShort", word(name))] if name else []
+        return obj(("modelType", word(kind)), *named, *fields)
 
-    def number(c: Column) -> Column:
-        return q(c.cast("string"))
+    def prop(name: str | None, value_type: str, value: str, *more: tuple[str, str]) -> str:
+        return element("Property", name, ("valueType", word(value_type)), ("value", value), *more)
 
-    unit = json_object(
-        ("dataSpecificationContent", json_object(("unit", q(F.lit("EUR")))))
+    def ref(*values: str) -> str:
+        keys = [obj(("type", word("GlobalReference")), ("value", v)) for v in values]
+        return obj(("type", word("ExternalReference")), ("keys", arr(*keys)))
+
+    def number(expr: str) -> str:
+        return f"'\"' || cast({expr} as string) || '\"'"
+
+    def when(condition: str, value: str) -> str:
+        return f"case when {condition} then {value} end"
+
+    key = "cast(p_partkey as string)"
+    brand = text("p_brand")
+    titles = arr(
+        obj(("language", word("de")), ("text", f"'\"Teil ' || {key} || '\"'")),
+        when("p_partkey % 2 = 0", obj(("language", word("en")), ("text", f"'\"Part ' || {key} || '\"'"))),
     )
-    lines_list = F.concat(
-        F.lit("["),
-        F.array_join(
-            F.transform(
-                F.coalesce("lines", F.array().cast(joined.schema["lines"].dataType)),
-                lambda x: json_object(
-                    ("modelType", q(F.lit("Property"))),
-                    ("valueType", q(F.lit("xs:double"))),
-                    ("value", number(x["l_quantity"])),
-                ),
-            ),
-            ",",
-        ),
-        F.lit("]"),
+    inner = arr(
+        prop("Large", "xs:boolean", "'\"' || cast(p_size > 25 as string) || '\"'"),
+        element("File", "Sheet", ("value", word("/sheet.pdf"))),
     )
-    elements = array_of(
-        prop("Name", "xs:string", q(F.col("p_name")), ("semanticId", ref(F.lit("0173-1#02-AAO677#002"), F.col("p_brand")))),
-        prop("Price", "xs:double", number(F.col("p_retailprice")), ("embeddedDataSpecifications", array_of(unit))),
-        element("MultiLanguageProperty", "Title", ("value", array_of(
-            json_object(("language", q(F.lit("de"))), ("text", q(F.concat(F.lit("Teil "), key)))),
-            F.when(F.col("p_partkey") % 2 == 0, json_object(("language", q(F.lit("en"))), ("text", q(F.concat(F.lit("Part "), key))))),
-        ))),
-        element("SubmodelElementCollection", "Dimensions", ("value", array_of(
-            prop("Size", "xs:integer", F.col("p_size").cast("string")),
-            element("Range", "Quantity", ("valueType", q(F.lit("xs:double"))),
-                    ("min", number(F.col("qmin"))), ("max", F.when(F.col("p_partkey") % 3 != 0, number(F.col("qmax"))))),
-            element("SubmodelElementCollection", None, ("value", array_of(
-                prop("Large", "xs:boolean", q((F.col("p_size") > 25).cast("string"))),
-                element("File", "Sheet", ("value", q(F.lit("/sheet.pdf")))),
-            ))),
-            element("SubmodelElementCollection", "Empty", ("value", F.lit("[]"))),
-        ))),
-        element("SubmodelElementList", "Quantities", ("value", lines_list)),
-        element("ReferenceElement", "Brand", ("value", ref(F.lit("urn:brand"), F.col("p_brand")))),
-        element("Entity", "Maker", ("entityType", q(F.lit("SelfManagedEntity"))),
-                ("globalAssetId", F.when(F.col("p_partkey") % 2 == 0, q(F.concat(F.lit("urn:maker:"), key)))),
-                ("statements", array_of(prop("Type", "xs:string", q(F.col("p_type")))))),
-        element("RelationshipElement", "MadeBy", ("first", ref(key)), ("second", F.when(F.col("p_partkey") % 2 == 1, ref(F.col("p_brand"))))),
-        element("Blob", "Image", ("value", q(F.lit("AAAA")))),
+    dimensions = arr(
+        prop("Size", "xs:integer", "cast(p_size as string)"),
+        element("Range", "Quantity", ("valueType", word("xs:double")), ("min", number("qmin")),
+                ("max", when("p_partkey % 3 <> 0", number("qmax")))),
+        element("SubmodelElementCollection", None, ("value", inner)),
+        element("SubmodelElementCollection", "Empty", ("value", "'[]'")),
+    )
+    line = prop(None, "xs:double", number("x.l_quantity"))
+    lines = f"coalesce(concat('[', array_join(transform(lines, x -> {line}), ','), ']'), '[]')"
+    unit = obj(("dataSpecificationContent", obj(("unit", word("EUR")))))
+    elements = arr(
+        prop("Name", "xs:string", text("p_name"), ("semanticId", ref(word("0173-1#02-AAO677#002"), brand))),
+        prop("Price", "xs:double", number("p_retailprice"), ("embeddedDataSpecifications", arr(unit))),
+        element("MultiLanguageProperty", "Title", ("value", titles)),
+        element("SubmodelElementCollection", "Dimensions", ("value", dimensions)),
+        element("SubmodelElementList", "Quantities", ("value", lines)),
+        element("ReferenceElement", "Brand", ("value", ref(word("urn:brand"), brand))),
+        element("Entity", "Maker", ("entityType", word("SelfManagedEntity")),
+                ("globalAssetId", when("p_partkey % 2 = 0", f"'\"urn:maker:' || {key} || '\"'")),
+                ("statements", arr(prop("Type", "xs:string", text("p_type"))))),
+        element("RelationshipElement", "MadeBy", ("first", ref(f"'\"' || {key} || '\"'")),
+                ("second", when("p_partkey % 2 = 1", ref(brand)))),
+        element("Blob", "Image", ("value", word("AAAA"))),
         element("Capability", "Grip"),
     )
-    submodel = json_object(
-        ("modelType", q(F.lit("Submodel"))),
-        ("idShort", q(F.lit("TechnicalData"))),
-        ("id", q(F.concat(F.lit("urn:sm:"), key))),
-        ("semanticId", ref(F.lit("https://admin-shell.io/idta/TechnicalData/1/2"))),
+    submodel_id = f"'\"urn:sm:' || {key} || '\"'"
+    submodel = obj(
+        ("modelType", word("Submodel")), ("idShort", word("TechnicalData")), ("id", submodel_id),
+        ("semanticId", ref(word("https://admin-shell.io/idta/TechnicalData/1/2"))),
         ("submodelElements", elements),
     )
 
-    def shell(asset: Column) -> Column:
-        reference = json_object(("type", q(F.lit("ModelReference"))), ("keys", array_of(
-            json_object(("type", q(F.lit("Submodel"))), ("value", q(F.concat(F.lit("urn:sm:"), key)))))))
-        return json_object(
-            ("modelType", q(F.lit("AssetAdministrationShell"))),
-            ("id", q(F.concat(F.lit("urn:shell:"), key))),
-            ("assetInformation", json_object(("assetKind", q(F.lit("Instance"))), ("globalAssetId", q(asset)))),
-            ("submodels", array_of(reference)),
+    def shell(suffix: str) -> str:
+        asset = f"'\"https://example.com/aas/part-' || {key} || '{suffix}\"'"
+        reference = obj(("type", word("ModelReference")),
+                        ("keys", arr(obj(("type", word("Submodel")), ("value", submodel_id)))))
+        return obj(
+            ("modelType", word("AssetAdministrationShell")), ("id", f"'\"urn:shell:' || {key} || '\"'"),
+            ("assetInformation", obj(("assetKind", word("Instance")), ("globalAssetId", asset))),
+            ("submodels", arr(reference)),
         )
 
-    asset = F.concat(F.lit("https://example.com/aas/part-"), key)
-    doc = json_object(
-        ("assetAdministrationShells", array_of(
-            F.when(F.col("p_partkey") % 7 == 0, shell(F.concat(asset, F.lit("-old")))),
-            F.when(F.col("p_partkey") % 11 != 0, shell(asset)))),
-        ("submodels", array_of(submodel)),
-    )
-    content = (
-        F.when(F.col("p_partkey") % 97 == 0, F.substring(doc, F.lit(1), F.length(doc) - 1))
-        .when(F.col("p_partkey") % 89 == 0, F.lit('"text"'))
-        .otherwise(doc)
-    )
+    shells = arr(when("p_partkey % 7 = 0", shell("-old")), when("p_partkey % 11 <> 0", shell("")))
+    doc = obj(("assetAdministrationShells", shells), ("submodels", arr(submodel)))
+    # Broken documents: one in 97 with a stray brace, one in 89 a bare string.
+    return f"""concat(case when p_partkey % 89 = 0 then '"text"' else {doc} end,
+      case when p_partkey % 97 = 0 then '{{' else '' end)"""
+
+
+def documents_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One asset document per part, nested up to four levels; some are broken."""
+    part = table(spark, sf_dir, "part").repartition("p_partkey")
+    lines = first_quantities(table(spark, sf_dir, "lineitem"))
+    joined = part.join(lines, part.p_partkey == lines.l_partkey, "left")
     return joined.select(
-        F.concat(F.lit("part-"), key, F.lit(".json")).alias("source"),
+        F.expr("concat('part-', p_partkey, '.json')").alias("source"),
         (F.lit(1_704_067_200_000) + F.col("p_partkey")).alias("event_ts"),
-        content.alias("content"),
+        F.expr(_documents_sql()).alias("content"),
     )

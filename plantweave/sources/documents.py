@@ -80,12 +80,23 @@ def any_changed(flags: DataFrame) -> DataFrame:
     return flags.agg(F.coalesce(F.bool_or("changed"), F.lit(False)).alias("any_changed"))
 
 
-def parse_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents with a parsed ``doc``, quarantined documents).
+def with_doc(documents: DataFrame) -> DataFrame:
+    """Add ``doc``, the parsed content, NULL for text that is not one JSON object.
 
-    Text that is no JSON, or JSON whose top level is no object, is quarantined.
+    The text is parsed as the only member of a list, which also catches text after
+    the end of the document.
     """
-    parsed = documents.withColumn("doc", F.try_parse_json("content"))
-    good = F.col("doc").isNotNull() & F.schema_of_variant("doc").startswith("OBJECT")
-    ok = F.coalesce(good, F.lit(False))
-    return parsed.filter(ok), parsed.filter(~ok).drop("doc")
+    members = F.try_parse_json(F.concat(F.lit("["), F.col("content"), F.lit("]")))
+    one = F.try_variant_get("_members", "$[1]", "variant").isNull()
+    opens = F.col("content").rlike(r"^\s*\{")
+    return (
+        documents.withColumn("_members", F.when(opens, members))
+        .withColumn("doc", F.when(one, F.try_variant_get("_members", "$[0]", "variant")))
+        .drop("_members")
+    )
+
+
+def parse_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents with a parsed ``doc``, quarantined documents)."""
+    parsed = with_doc(documents)
+    return parsed.filter("doc IS NOT NULL"), parsed.filter("doc IS NULL").drop("doc")
