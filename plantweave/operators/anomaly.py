@@ -3,10 +3,20 @@
 Batch form: per asset the rows of one day are the reference window for the next
 day's rows, so windows are independent and run in parallel. The streaming form in
 ``plantweave.streaming.anomaly`` scores and updates row by row instead.
+
+A row's path through a tree is fixed by the last node on it. So the reference rows are
+counted per last node, which is at most ``trees * 2^(depth-1)`` numbers per window
+however many rows it has. Scoring sorts each window's counts in front of its rows and
+streams through them, so nothing is multiplied by nodes and no window is held whole.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,37 +66,51 @@ def tree_nodes(
     )
 
 
-def _tree_arrays(spark: SparkSession, trees: int, depth: int, seed: int) -> DataFrame:
-    """One row per tree; the size is fixed by the two parameters."""
-    nodes = tree_nodes(spark, trees, depth, seed)
-    ordered = F.sort_array(F.collect_list(F.struct("node", "dim", "split")))
-    return (
-        nodes.groupBy("tree")
-        .agg(ordered.alias("n"))
-        .select("tree", F.col("n.dim").alias("dims"), F.col("n.split").alias("splits"))
-    )
-
-
-def _deepest_nodes(rows: DataFrame, trees: int, depth: int, seed: int) -> DataFrame:
-    """Per row and tree the last node on the path; its ancestors are implied."""
-    arrays = F.broadcast(_tree_arrays(rows.sparkSession, trees, depth, seed))
-
-    def step(node: Column, _: Column) -> Column:
-        value = F.get(F.col("x"), F.get(F.col("dims"), node))
-        right = F.when(value < F.get(F.col("splits"), node), 1).otherwise(2)
-        return (node * 2 + right).cast("int")
-
-    walk = F.aggregate(F.sequence(F.lit(2), F.lit(depth)), F.lit(0).cast("int"), step)
-    per_tree = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    return per_tree.join(arrays, "tree").withColumn("leaf", walk).drop("dims", "splits", "x")
-
-
-def _with_path(leaves: DataFrame, depth: int) -> DataFrame:
-    """One row per node on the path to each leaf."""
-    up = F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("_up")
-    return leaves.select("*", up).withColumn(
-        "node", F.expr("shiftright(leaf + 1, _up) - 1")
-    ).drop("_up")
+def tree_arrays(trees: int, depth: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`tree_nodes` as (dims, splits), one row per tree."""
+    inner = (1 << depth) - 1
+    digests = [
+        hashlib.md5(f"{seed}:{t}:{n}".encode()).hexdigest() for t in range(trees) for n in range(inner)
+    ]
+    dims = np.array([int(d[:8], 16) % FEATURES for d in digests]).reshape(trees, inner)
+    splits = np.array([int(d[8:16], 16) / 4294967296.0 for d in digests]).reshape(trees, inner)
+    return dims, splits
+
+
+def last_nodes(x: np.ndarray, dims: np.ndarray, splits: np.ndarray, depth: int) -> np.ndarray:
+    """Last node per row and tree for scaled features ``x``."""
+    rows = np.arange(len(x))[:, None]
+    tree = np.arange(len(dims))[None, :]
+    node = np.zeros((len(x), len(dims)), dtype="int64")
+    for _ in range(depth - 1):
+        right = np.where(x[rows, dims[tree, node]] < splits[tree, node], 1, 2)
+        node = 2 * node + right
+    return node
+
+
+def _leaf_codes(trees: int, depth: int, seed: int):
+    """Arrow function: scaled features to one code ``tree * 2^depth + last node`` per tree."""
+    dims, splits = tree_arrays(trees, depth, seed)
+    offset = np.arange(trees) << depth
+
+    @F.pandas_udf("array<int>")
+    def codes(x: pd.Series) -> pd.Series:
+        known = x.notna().to_numpy()
+        out = np.full(len(x), None, dtype=object)
+        if known.any():
+            found = last_nodes(np.stack(x[known].to_numpy()), dims, splits, depth) + offset
+            for i, row in zip(np.flatnonzero(known), found.astype("int32")):
+                out[i] = row
+        return pd.Series(out, index=x.index)
+
+    return codes
+
+
+def _path_codes(codes: np.ndarray, depth: int) -> np.ndarray:
+    """Codes of all nodes on the path to each code, in a new last axis."""
+    tree, node = codes >> depth, codes & ((1 << depth) - 1)
+    up = np.arange(depth)
+    return (tree[..., None] << depth) + ((node[..., None] + 1) >> up) - 1
 
 
 def _windows(metrics: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -120,37 +144,40 @@ def _scaled() -> Column:
     )
 
 
+def _leaf_counts(rows: DataFrame, ranges: DataFrame, trees: int, depth: int, seed: int) -> DataFrame:
+    """Reference rows per window and last node."""
+    codes = _leaf_codes(trees, depth, seed)
+    scaled = rows.select("asset_id", (F.col("day") + 1).alias("window"), "f").join(
+        ranges, ["asset_id", "window"]
+    )
+    return (
+        scaled.select("asset_id", "window", F.explode(codes(_scaled())).alias("code"))
+        .groupBy("asset_id", "window", "code")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
 def reference_mass(
     metrics: DataFrame, trees: int = TREES, depth: int = DEPTH, window: int = WINDOW, seed: int = SEED
 ) -> DataFrame:
-    """Mass of every node that a reference window's rows pass through.
-
-    Rows are counted per last node first, so at most ``2^(depth-1)`` nodes per tree
-    and window are expanded to their paths, however many rows there are.
-    """
+    """Mass of every node that a reference window's rows pass through."""
     rows, ranges = _windows(metrics)
-    return _masses(rows, ranges, trees, depth, window, seed)
-
-
-def _masses(rows, ranges, trees, depth, window, seed):
-    scaled = (
-        rows.withColumn("window", F.col("day") + 1)
-        .join(ranges, ["asset_id", "window"])
-        .select("asset_id", "window", _scaled().alias("x"))
-    )
-    keys = ["asset_id", "window", "tree"]
-    leaves = (
-        _deepest_nodes(scaled, trees, depth, seed)
-        .groupBy(*keys, "leaf")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    counts = _leaf_counts(rows, ranges, trees, depth, seed)
+    up = F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("_up")
+    low = (1 << depth) - 1
+    node = F.expr(f"shiftright((code & {low}) + 1, _up) - 1").alias("node")
+    tree = F.shiftright("code", depth).alias("tree")
     return (
-        _with_path(leaves, depth)
-        .groupBy(*keys, "node")
+        counts.select("asset_id", "window", "code", "n", up)
+        .select("asset_id", "window", tree, node, "n")
+        .groupBy("asset_id", "window", "tree", "node")
         .agg(F.least(F.sum("n"), F.lit(window)).cast("bigint").alias("mass"))
     )
 
 
+SALT_ROWS = 200_000
+
+
 def score(
     metrics: DataFrame,
     trees: int = TREES,
@@ -165,36 +192,112 @@ def score(
     size. An observation without a reference window scores 0.5.
     """
     rows, ranges = _windows(metrics)
-    mass = _masses(rows, ranges, trees, depth, window, seed)
-    scored_rows = rows.withColumnRenamed("day", "window").join(
-        ranges, ["asset_id", "window"], "left"
+    codes = _leaf_codes(trees, depth, seed)
+    keys = ["asset_id", "window"]
+    state = (
+        _leaf_counts(rows, ranges, trees, depth, seed)
+        .groupBy(*keys)
+        .agg(F.collect_list(F.struct("code", "n")).alias("s"))
+        .select(*keys, F.col("s.code").alias("codes"), F.col("s.n").alias("counts"))
     )
-    known = scored_rows.filter("reference_rows IS NOT NULL").select(
-        "asset_id", "window", "elem_order", _scaled().alias("x")
+    # A window with many rows is scored in several pieces, each with its own copy of
+    # the counts; the number of rows of a window is the reference size of the next one.
+    pieces = F.ceil(F.col("reference_rows") / SALT_ROWS).cast("int").alias("pieces")
+    sizes = ranges.select("asset_id", (F.col("window") - 1).alias("window"), pieces)
+    none = F.lit(None)
+    states = state.join(sizes, keys).select(
+        *keys,
+        F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"),
+        F.lit(0).alias("role"),
+        "codes",
+        "counts",
+        none.cast("string").alias("path"),
+        none.cast("bigint").alias("timestamp_ms"),
+        none.cast("string").alias("elem_order"),
+        none.cast("double").alias("value_num"),
+        none.cast("bigint").alias("observations"),
+    )
+    observed = (
+        rows.withColumnRenamed("day", "window")
+        .join(ranges, keys, "left")
+        .join(sizes, keys)
+        .select(
+            *keys,
+            F.pmod(F.xxhash64("elem_order"), F.col("pieces")).cast("int").alias("piece"),
+            F.lit(1).alias("role"),
+            codes(F.when(F.col("reference_rows").isNotNull(), _scaled())).alias("codes"),
+            none.cast("array<bigint>").alias("counts"),
+            "path",
+            "timestamp_ms",
+            "elem_order",
+            "value_num",
+            F.coalesce("reference_rows", F.lit(0)).alias("observations"),
+        )
     )
-    keys = ["asset_id", "window", "tree"]
-    leaves = _deepest_nodes(known, trees, depth, seed)
-    # The mass on a path depends on its last node only: look each one up once.
-    paths = (
-        _with_path(leaves.select(*keys, "leaf").distinct(), depth)
-        .join(mass, [*keys, "node"])
-        .groupBy(*keys, "leaf")
-        .agg(F.sum("mass").alias("path_mass"))
+    group = ["asset_id", "window", "piece"]
+    lined_up = (
+        states.unionByName(observed).repartition(*group).sortWithinPartitions(*group, "role")
     )
-    totals = (
-        leaves.join(paths, [*keys, "leaf"], "left")
-        .groupBy("asset_id", "window", "elem_order")
-        .agg(F.coalesce(F.sum("path_mass"), F.lit(0)).alias("total_mass"))
+    totals = lined_up.mapInPandas(
+        _mass_of_rows(depth, window),
+        "asset_id string, path string, timestamp_ms bigint, elem_order string, value_num double, "
+        "observations bigint, total_mass bigint",
     )
-    unit = F.lit(window) if mode == "cumulative" else F.least(F.lit(window), F.col("reference_rows"))
+    unit = F.lit(window) if mode == "cumulative" else F.least(F.lit(window), F.col("observations"))
     value = F.lit(1.0) - F.col("total_mass") / (unit * (trees * depth))
-    return scored_rows.join(totals, ["asset_id", "window", "elem_order"], "left").select(
-        "asset_id", "path", "timestamp_ms", "elem_order", "value_num",
-        F.coalesce("reference_rows", F.lit(0)).alias("observations"),
-        F.coalesce(value, F.lit(0.5)).alias("anomaly_score"),
+    scored = F.when(F.col("observations") > 0, value).otherwise(0.5)
+    return totals.select(
+        "asset_id", "path", "timestamp_ms", "elem_order", "value_num", "observations",
+        scored.alias("anomaly_score"),
     )
 
 
+def _mass_of_rows(depth: int, window: int):
+    """Total mass on the paths of each row, from the counts sorted in front of it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last_group, kept = None, None  # counts of the group a batch ends in
+        for pdf in batches:
+            group = list(zip(pdf["asset_id"], pdf["window"], pdf["piece"]))
+            number = np.zeros(len(pdf), dtype="int64")
+            number[1:] = np.cumsum([a != b for a, b in zip(group[1:], group[:-1])])
+            is_state = pdf["role"].to_numpy() == 0
+            owners, codes, counts = [], [], []
+            if kept is not None and group[0] == last_group:
+                owners, codes, counts = [np.zeros(len(kept[0]), "int64")], [kept[0]], [kept[1]]
+            for i in np.flatnonzero(is_state):
+                codes.append(np.asarray(pdf["codes"].iat[i], dtype="int64"))
+                counts.append(np.asarray(pdf["counts"].iat[i], dtype="int64"))
+                owners.append(np.full(len(codes[-1]), number[i]))
+            owner = np.concatenate(owners) if owners else np.zeros(0, "int64")
+            code = np.concatenate(codes) if codes else np.zeros(0, "int64")
+            count = np.concatenate(counts) if counts else np.zeros(0, "int64")
+            mine = owner == number[-1]
+            last_group, kept = group[-1], (code[mine], count[mine])
+
+            rows = pdf[~is_state]
+            total = np.zeros(len(rows), dtype="int64")
+            known = rows["codes"].notna().to_numpy()
+            if known.any() and len(code):
+                span = int(code.max()) + (1 << depth)
+                path = owner[:, None] * span + _path_codes(code, depth)
+                nodes, where = np.unique(path.ravel(), return_inverse=True)
+                mass = np.bincount(where, weights=np.repeat(count, depth)).astype("int64")
+                mass = np.minimum(mass, window)
+                wanted = np.stack(rows["codes"][known].to_numpy()).astype("int64")
+                # A code above the span belongs to a tree without counts in this batch.
+                ask = _path_codes(wanted, depth)
+                inside = ask < span
+                ask = number[~is_state][known][:, None, None] * span + ask
+                at = np.minimum(np.searchsorted(nodes, ask), len(nodes) - 1)
+                hit = inside & (nodes[at] == ask)
+                total[known] = np.where(hit, mass[at], 0).sum(axis=(1, 2))
+            columns = ["asset_id", "path", "timestamp_ms", "elem_order", "value_num", "observations"]
+            yield rows[columns].assign(total_mass=total)
+
+    return run
+
+
 def classify(
     scores: DataFrame, window: int = WINDOW, thresholds: dict[str, float] | None = None
 ) -> DataFrame:

@@ -15,34 +15,42 @@ from plantweave.operators.ordered import latest_per_key
 
 MAX_DEPTH = 64
 
-_FRONTIER = "array<struct<el:variant,path:string,ord:string>>"
+# An element's members: scalars as text, nested parts as variants.
+_ELEMENT = (
+    "struct<modelType:string,idShort:string,valueType:string,value:variant,min:string,max:string,"
+    "semanticId:variant,embeddedDataSpecifications:variant,entityType:string,globalAssetId:string,"
+    "statements:variant,first:variant,second:variant>"
+)
+_FRONTIER = f"array<struct<el:{_ELEMENT},path:string,ord:string>>"
 _LEAVES = (
     "array<struct<path:string,aas_type:string,value_type:string,literal:string,"
     "keys:array<string>,unit:string,ord:string>>"
 )
 
-# Semantic keys, unit and reference text of the element ``e.el``.
-_KEYS = (
-    "transform(filter(coalesce(try_variant_get(e.el, '$.semanticId.keys', "
-    "'array<struct<value:string>>'), array()), k -> k.value is not null), k -> k.value)"
-)
-_UNIT = (
-    "get(filter(coalesce(try_variant_get(e.el, '$.embeddedDataSpecifications', "
-    "'array<struct<dataSpecificationContent:struct<unit:string>>>'), array()), "
-    "s -> s.dataSpecificationContent.unit <> ''), 0).dataSpecificationContent.unit"
-)
+_KIND = "e.el.modelType"
+_VALUE = "try_variant_get(e.el.value, '$', 'string')"
 
 
-def _reference(field: str) -> str:
-    keys = f"try_variant_get(e.el, '$.{field}.keys', 'array<struct<value:string>>')"
-    return f"nullif(concat_ws('/', transform(coalesce({keys}, array()), k -> k.value)), '')"
+def _key_values(part: str) -> str:
+    """Key values of a reference; most elements have none and skip the lookup."""
+    keys = f"try_variant_get({part}, '$.keys', 'array<struct<value:string>>')"
+    return (
+        f"if({part} is null, array(), "
+        f"filter(transform(coalesce({keys}, array()), k -> k.value), v -> v is not null))"
+    )
 
 
-def _text(field: str) -> str:
-    return f"try_variant_get(e.el, '$.{field}', 'string')"
+_KEYS = _key_values("e.el.semanticId")
+_UNIT = (
+    "if(e.el.embeddedDataSpecifications is null, null, get(filter(coalesce(try_variant_get("
+    "e.el.embeddedDataSpecifications, '$', "
+    "'array<struct<dataSpecificationContent:struct<unit:string>>>'), array()), "
+    "s -> s.dataSpecificationContent.unit <> ''), 0).dataSpecificationContent.unit)"
+)
 
 
-_KIND = _text("modelType")
+def _reference(part: str) -> str:
+    return f"nullif(concat_ws('/', {_key_values('e.el.' + part)}), '')"
 
 
 def _leaf(path: str, kind: str, value_type: str, literal: str) -> str:
@@ -53,7 +61,7 @@ def _leaf(path: str, kind: str, value_type: str, literal: str) -> str:
 
 
 def _language_text(language: str) -> str:
-    entries = "try_variant_get(e.el, '$.value', 'array<struct<language:string,text:string>>')"
+    entries = "try_variant_get(e.el.value, '$', 'array<struct<language:string,text:string>>')"
     wanted = language.replace("'", "''")
     return (
         f"coalesce(get(filter({entries}, t -> t.language = '{wanted}'), 0).text, "
@@ -64,22 +72,25 @@ def _language_text(language: str) -> str:
 def _leaves_of(language: str) -> str:
     """Rows an element contributes itself."""
     string = "'xs:string'"
-    typed = _text("valueType")
-    value = f"case when {_KIND} = 'Property' then {_text('value')} when {_KIND} = 'MultiLanguageProperty' then {_language_text(language)} end"
+    typed = "e.el.valueType"
+    value = (
+        f"case {_KIND} when 'Property' then {_VALUE} "
+        f"when 'MultiLanguageProperty' then {_language_text(language)} end"
+    )
     value_type = f"case when {_KIND} = 'Property' then {typed} else {string} end"
+    # SelfManagedEntity reads SELF_MANAGED_ENTITY.
     entity = (
-        "coalesce(upper(regexp_replace(" + _text("entityType") + ", '([a-z])([A-Z])', '$1_$2')), "
-        "'SELF_MANAGED')"
+        "coalesce(upper(regexp_replace(e.el.entityType, '([a-z])([A-Z])', '$1_$2')), 'SELF_MANAGED')"
     )
     relation = f"concat(coalesce({_reference('first')}, ''), ' -> ', coalesce({_reference('second')}, ''))"
     range_rows = ", ".join(
-        _leaf(f"concat(e.path, '.{b}')", f"'Range.{b}'", typed, _text(b)) for b in ("min", "max")
+        _leaf(f"concat(e.path, '.{b}')", f"'Range.{b}'", typed, f"e.el.{b}") for b in ("min", "max")
     )
     entity_rows = ", ".join(
         [
             _leaf("concat(e.path, '.entityType')", "'Entity.entityType'", string, entity),
             _leaf("concat(e.path, '.globalAssetId')", "'Entity.globalAssetId'", string,
-                  f"nullif({_text('globalAssetId')}, '')"),
+                  "nullif(e.el.globalAssetId, '')"),
         ]
     )
     return f"""case
@@ -94,31 +105,31 @@ def _leaves_of(language: str) -> str:
     end"""
 
 
-def _children_of() -> str:
-    """Elements one level down, with their paths."""
-    named = "concat(e.path, '.', coalesce(nullif(try_variant_get(c, '$.idShort', 'string'), ''), 'unnamed'))"
-    position = "concat(e.ord, '/', lpad(i, 7, '0'))"
+def _members(source: str, path: str, order: str) -> str:
+    """Elements of a list variant with their paths; ``c`` is the element, ``i`` its position."""
+    listed = f"coalesce(try_variant_get({source}, '$', 'array<variant>'), array())"
+    parts = f"transform({listed}, c -> try_variant_get(c, '$', '{_ELEMENT}'))"
+    return (
+        f"transform({parts}, (c, i) -> named_struct('el', c, 'path', {path}, "
+        f"'ord', concat({order}, '/', lpad(i, 7, '0'))))"
+    )
 
-    def down(field: str, path: str) -> str:
-        members = f"coalesce(try_variant_get(e.el, '$.{field}', 'array<variant>'), array())"
-        return f"transform({members}, (c, i) -> named_struct('el', c, 'path', {path}, 'ord', {position}))"
 
+def _children_of() -> str:
+    """Elements one level down."""
+    named = "concat(e.path, '.', coalesce(nullif(c.idShort, ''), 'unnamed'))"
     return f"""case {_KIND}
-      when 'SubmodelElementCollection' then {down('value', named)}
-      when 'SubmodelElementList' then {down('value', "concat(e.path, '[', i, ']')")}
-      when 'Entity' then {down('statements', named)}
+      when 'SubmodelElementCollection' then {_members('e.el.value', named, 'e.ord')}
+      when 'SubmodelElementList' then {_members('e.el.value', "concat(e.path, '[', i, ']')", 'e.ord')}
+      when 'Entity' then {_members('e.el.statements', named, 'e.ord')}
       else cast(array() as {_FRONTIER})
     end"""
 
 
 def walk(submodel: str, root: str, language: str = "en", max_depth: int = MAX_DEPTH) -> Column:
     """All leaves of a submodel variant; fails when it is nested deeper than ``max_depth``."""
-    named = "coalesce(nullif(try_variant_get(c, '$.idShort', 'string'), ''), 'unnamed')"
-    start = (
-        f"transform(coalesce(try_variant_get({submodel}, '$.submodelElements', 'array<variant>'), "
-        f"array()), (c, i) -> named_struct('el', c, 'path', concat({root}, '.', {named}), "
-        "'ord', concat('/', lpad(i, 7, '0'))))"
-    )
+    named = f"concat({root}, '.', coalesce(nullif(c.idShort, ''), 'unnamed'))"
+    start = _members(f"try_variant_get({submodel}, '$.submodelElements', 'variant')", named, "''")
     body = f"""aggregate(sequence(1, {max_depth}),
       named_struct('todo', cast({start} as {_FRONTIER}), 'found', cast(array() as {_LEAVES})),
       (acc, depth) -> if(size(acc.todo) = 0, acc, named_struct(

@@ -502,7 +502,10 @@ def _documents_sql() -> str:
 
 def documents_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One asset document per part, nested up to four levels; some are broken."""
-    part = table(spark, sf_dir, "part").repartition("p_partkey")
+    # Documents are much larger than the part rows they come from: spread the rows first.
+    part = table(spark, sf_dir, "part").repartition(
+        spark.sparkContext.defaultParallelism, "p_partkey"
+    )
     lines = first_quantities(table(spark, sf_dir, "lineitem"))
     joined = part.join(lines, part.p_partkey == lines.l_partkey, "left")
     return joined.select(
