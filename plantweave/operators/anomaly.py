@@ -24,7 +24,7 @@ from plantweave.functions import scoring
 from plantweave.functions.json import json_object, or_null, quoted
 from plantweave.operators.fidelity import path_depth
 from plantweave.operators.mapping import alert_topic
-from plantweave.operators.ordered import top_per_key
+from plantweave.operators.ordered import spread, top_per_key
 from plantweave.operators.throttle import cooldown
 
 TREES, DEPTH, WINDOW, SEED = 25, 10, 1000, 42
@@ -235,9 +235,8 @@ def score(
         )
     )
     group = ["asset_id", "window", "piece"]
-    lined_up = (
-        states.unionByName(observed).repartition(*group).sortWithinPartitions(*group, "role")
-    )
+    both = spread(states.unionByName(observed), *group)
+    lined_up = both.sortWithinPartitions(*group, "role")
     totals = lined_up.mapInPandas(
         _mass_of_rows(depth, window),
         "asset_id string, path string, timestamp_ms bigint, elem_order string, value_num double, "

@@ -49,17 +49,20 @@ def changed_in_series_with_ttl(
     )
 
 
+def with_changed(current: DataFrame, published: DataFrame) -> DataFrame:
+    """Add ``hash`` and ``changed``: the stored hash differs or there is none."""
+    hashed = current.withColumn("hash", value_hash(F.col("value_json")))
+    stored = published.select("topic", F.col("hash").alias("_stored"))
+    flag = ~F.col("hash").eqNullSafe(F.col("_stored"))
+    return hashed.join(stored, "topic", "left").withColumn("changed", flag).drop("_stored")
+
+
 def changed_since(
     current: DataFrame, published: DataFrame, as_of_ms: int | None = None, ttl_ms: int = DAY_MS
 ) -> DataFrame:
     """Rows of a snapshot whose hash differs from the stored one or was never stored."""
     stored = published if as_of_ms is None else not_expired(published, as_of_ms, ttl_ms)
-    hashed = current.withColumn("hash", value_hash(F.col("value_json")))
-    return (
-        hashed.join(stored.select("topic", F.col("hash").alias("_stored")), "topic", "left")
-        .filter(~F.col("hash").eqNullSafe(F.col("_stored")))
-        .drop("_stored")
-    )
+    return with_changed(current, stored).filter("changed").drop("changed")
 
 
 def merge_hashes(published: DataFrame, changed: DataFrame, now_ms: Column) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plantweave.functions import text
 from plantweave.operators.ordered import latest_per_key
-from plantweave.sources.rules import MappingRules, broadcast_if_small
+from plantweave.sources.rules import MappingRules
 
 LEVELS = ["enterprise", "site", "area", "line", "asset"]
 
@@ -19,7 +19,7 @@ def resolve_identities(assets: DataFrame, rules: MappingRules) -> DataFrame:
     the default takes the rest. Works on distinct ids, so the pattern join is small.
     """
     ids = assets.select("asset_id").filter(F.col("asset_id").isNotNull()).distinct()
-    exact = broadcast_if_small(rules.exact).select(
+    exact = rules.exact.select(
         "asset_id", F.struct(*LEVELS).alias("exact_levels")
     )
     joined = ids.join(exact, "asset_id", "left")

@@ -148,3 +148,12 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int) ->
     """The first ``n`` rows per key; Spark limits each key before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition by keys for a compute-heavy step.
+
+    The explicit number keeps adaptive execution from folding the step into few tasks
+    because its input is small in bytes.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantweave.sources.rules import broadcast_if_small
-
 # Element types that must carry an identifier by default.
 REQUIRED_TYPES = ["Property", "Range", "Range.min", "Range.max"]
 
@@ -94,7 +92,7 @@ def validate(
             ),
         ),
     ]
-    joined = metrics.join(broadcast_if_small(constraints), "semantic_id", "left")
+    joined = metrics.join(constraints, "semantic_id", "left")
     return joined.select(*metrics.columns, F.array_compact(F.array(*checks)).alias("errors"))
 
 

@@ -8,6 +8,7 @@ from plantweave.plans import (  # noqa: F401
     drift_queries,
     mapping_queries,
     message_queries,
+    publish_queries,
     semantic_queries,
 )
 from plantweave.plans.registry import ORACLES, QUERIES

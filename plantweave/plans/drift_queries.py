@@ -202,9 +202,16 @@ def anomaly_features(spark, sf):
     return rows.select("elem_order", *[F.get(f, F.lit(i)).alias(f"f{i}") for i in range(5)])
 
 
-@query("anomaly_mass", f"WITH RECURSIVE {_FOREST} SELECT asset_id, win AS \"window\", tree, node, mass FROM mass")
+@query(
+    "anomaly_mass",
+    f"""WITH RECURSIVE {_FOREST} SELECT asset_id, win AS "window", tree, count(*) AS nodes, CAST(sum(mass) AS BIGINT) AS mass,
+      CAST(sum(mass * node) AS BIGINT) AS weighted FROM mass GROUP BY ALL""",
+)
 def anomaly_mass(spark, sf):
-    return anomaly.reference_mass(v.metrics(spark, sf))
+    mass = anomaly.reference_mass(v.metrics(spark, sf))
+    return mass.groupBy("asset_id", "window", "tree").agg(
+        F.count(F.lit(1)).alias("nodes"), F.sum("mass").alias("mass"), F.sum(F.col("mass") * F.col("node")).alias("weighted")
+    )
 
 
 @query("anomaly_scores", f"WITH RECURSIVE {_FOREST} SELECT asset_id, elem_order, observations, round(score, 9) AS score FROM scores")

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a side only after counting it; larger sides join by shuffle."""
-    few = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if few else df
+def _rule_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table from driver-side rows, broadcast when their number allows it."""
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
 
 
 @dataclass
@@ -37,7 +37,7 @@ def mapping_rules(spark: SparkSession, config: dict | None) -> MappingRules:
         (asset, *[levels.get(k, "") for k in ("enterprise", "site", "area", "line", "asset")])
         for asset, levels in (config.get("assets") or {}).items()
     ]
-    exact = spark.createDataFrame(rows, f"asset_id STRING, {LEVELS_DDL}")
+    exact = _rule_table(spark, rows, f"asset_id STRING, {LEVELS_DDL}")
     return MappingRules(default, exact, list(config.get("patterns") or []))
 
 
@@ -60,7 +60,7 @@ def constraint_rules(spark: SparkSession, constraints: dict[str, dict]) -> DataF
         (sid, _double(c.get("min")), _double(c.get("max")), c.get("unit") or None, usable(c.get("pattern")))
         for sid, c in constraints.items()
     ]
-    return spark.createDataFrame(rows, CONSTRAINTS_DDL)
+    return _rule_table(spark, rows, CONSTRAINTS_DDL)
 
 
 def _double(value) -> float | None:
