@@ -7,12 +7,12 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode white space as one character class, valid in Java and RE2.
-WHITESPACE_CLASS = (
+# Unicode white space, the wildcards and the separator. A run of them and of
+# underscores becomes one underscore.
+UNSAFE_RUN = (
     r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
-    r"\x{202f}\x{205f}\x{3000}]+"
+    r"\x{202f}\x{205f}\x{3000}+#/\x00_]+"
 )
-WILDCARD_CLASS = r"[+#/\x00]"
 UNNAMED = "unnamed"
 
 _CLEAN = r"^[0-9A-Za-z.:,;()=\-]+(?:_[0-9A-Za-z.:,;()=\-]+)*$"
@@ -26,19 +26,27 @@ def nfc(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), composed).otherwise(text)
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _clean_segment(text: Column, max_length: int) -> Column:
-    out = F.regexp_replace(nfc(text), WHITESPACE_CLASS, "_")
-    out = F.regexp_replace(out, WILDCARD_CLASS, "_")
-    out = F.regexp_replace(out, "_+", "_")
-    out = F.regexp_replace(out, "^_|_$", "")
-    cut = F.regexp_replace(F.substring(out, 1, max_length), "_[^_]*$", "")
-    out = F.when(F.length(out) > max_length, cut).otherwise(out)
-    return F.when(out == "", UNNAMED).otherwise(out)
+    clean = F.btrim(F.regexp_replace(nfc(text), UNSAFE_RUN, "_"), F.lit("_"))
+    return _once(
+        clean,
+        lambda c: F.when(c == "", UNNAMED)
+        .when(
+            F.length(c) > max_length,
+            F.regexp_replace(F.substring(c, 1, max_length), "_[^_]*$", ""),
+        )
+        .otherwise(c),
+    )
 
 
 def sanitize_segment(text: Column, max_length: int = 64) -> Column:
     """One topic segment: composed, no white space or wildcards, bounded length."""
-    clean = text.rlike(_CLEAN) & (F.length(text) <= max_length)
+    clean = (F.length(text) <= max_length) & text.rlike(_CLEAN)
     return (
         F.when(text.isNull() | (text == ""), F.lit(UNNAMED))
         .when(clean, text)
@@ -50,7 +58,7 @@ def sanitize_topic(topic: Column, separator: str = "/") -> Column:
     """Clean every non-empty segment of a topic and join them again."""
     parts = F.filter(F.split(topic, re.escape(separator)), lambda s: s != "")
     joined = F.array_join(F.transform(parts, lambda s: sanitize_segment(s)), separator)
-    return F.when(topic.isNull() | (joined == ""), F.lit(UNNAMED)).otherwise(joined)
+    return F.coalesce(F.nullif(joined, F.lit("")), F.lit(UNNAMED))
 
 
 def sanitize_metric_path(path: Column) -> Column:
