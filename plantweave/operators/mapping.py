@@ -12,43 +12,62 @@ from plantweave.sources.rules import MappingRules
 LEVELS = ["enterprise", "site", "area", "line", "asset"]
 
 
-def resolve_identities(assets: DataFrame, rules: MappingRules) -> DataFrame:
-    """One row of hierarchy levels per distinct asset id.
+def _clean(value: Column) -> Column:
+    filled = F.coalesce(value, F.lit(""))
+    return F.when(filled == "", "").otherwise(text.sanitize_segment(value))
+
+
+def _clean_levels() -> Column:
+    """Clean levels of a rule row; the enterprise is always filled."""
+    rest = [_clean(F.col(level)).alias(level) for level in LEVELS[1:]]
+    return F.struct(text.sanitize_segment(F.col("enterprise")).alias("enterprise"), *rest)
+
+
+def with_identity(rows: DataFrame, rules: MappingRules) -> DataFrame:
+    """Add the hierarchy levels of ``asset_id``; NULL levels where there is no asset.
 
     Exact rules win over patterns, the first matching pattern over later ones, and
-    the default takes the rest. Works on distinct ids, so the pattern join is small.
+    the default takes the rest. The levels are cleaned in the rule tables, which are
+    small; the rows only look them up, so they are not shuffled.
     """
-    ids = assets.select("asset_id").filter(F.col("asset_id").isNotNull()).distinct()
-    exact = rules.exact.select(
-        "asset_id", F.struct(*LEVELS).alias("exact_levels")
+    asset = F.col("asset_id")
+    exact = rules.exact.select("asset_id", _clean_levels().alias("_exact"))
+    numbered = [
+        (i, *[rule.get(level) or "" for level in LEVELS])
+        for i, rule in enumerate([*rules.patterns, rules.default])
+    ]
+    ddl = "_rule INT, " + ", ".join(f"{level} STRING" for level in LEVELS)
+    # As many rows as there are hand-written patterns, and the default.
+    levels = rows.sparkSession.createDataFrame(numbered, ddl).select(
+        "_rule", _clean_levels().alias("_levels")
     )
-    joined = ids.join(exact, "asset_id", "left")
-    # The ordered patterns are few and written by hand: one CASE in rule order.
-    pattern_levels = None
-    for rule in rules.patterns:
-        hit = F.col("asset_id").rlike(text.glob_to_regex(rule["pattern"]))
-        levels = F.struct(*[F.lit(rule.get(level) or "").alias(level) for level in LEVELS])
-        pattern_levels = (F if pattern_levels is None else pattern_levels).when(hit, levels)
-    default = F.struct(*[F.lit(rules.default.get(level) or "").alias(level) for level in LEVELS])
-    candidates = [F.col("exact_levels")]
-    if pattern_levels is not None:
-        candidates.append(pattern_levels)
-    joined = joined.select("asset_id", F.coalesce(*candidates, default).alias("levels"))
-    raw_name = F.coalesce(
-        F.nullif(F.col("levels.asset"), F.lit("")), text.last_id_part(F.col("asset_id"))
+    hits = [
+        F.when(asset.rlike(text.glob_to_regex(rule["pattern"])), F.lit(i))
+        for i, rule in enumerate(rules.patterns)
+    ]
+    rule = F.when(asset.isNotNull(), F.coalesce(*hits, F.lit(len(rules.patterns))))
+    joined = (
+        rows.withColumn("_rule", rule)
+        .join(exact, "asset_id", "left")
+        .join(F.broadcast(levels), "_rule", "left")
+        .withColumn("_chosen", F.coalesce("_exact", "_levels"))
+    )
+    name = F.when(F.col("_chosen.asset") != "", F.col("_chosen.asset")).when(
+        asset.isNotNull(), _clean(text.last_id_part(asset))
     )
-
-    def clean(value: Column) -> Column:
-        return F.when(F.coalesce(value, F.lit("")) == "", "").otherwise(text.sanitize_segment(value))
-
     return joined.select(
-        "asset_id",
-        text.sanitize_segment(F.col("levels.enterprise")).alias("enterprise"),
-        *[clean(F.col(f"levels.{level}")).alias(level) for level in LEVELS[1:4]],
-        clean(raw_name).alias("asset"),
+        *rows.columns,
+        *[F.col(f"_chosen.{level}").alias(level) for level in LEVELS[:4]],
+        name.alias("asset"),
     )
 
 
+def resolve_identities(assets: DataFrame, rules: MappingRules) -> DataFrame:
+    """One row of hierarchy levels per distinct asset id."""
+    ids = assets.select("asset_id").filter(F.col("asset_id").isNotNull()).distinct()
+    return with_identity(ids, rules)
+
+
 def topic_prefix() -> Column:
     """Hierarchy levels of an identity row as a topic prefix."""
     return text.join_topic(*[F.col(level) for level in LEVELS])
@@ -59,13 +78,10 @@ def device_id() -> Column:
     return F.coalesce(F.nullif(F.col("asset"), F.lit("")), F.col("submodel"))
 
 
-def with_topics(
-    metrics: DataFrame, rules: MappingRules, root: str = "", identities: DataFrame | None = None
-) -> DataFrame:
-    """Add ``topic`` and ``device_id`` to metric rows."""
-    identities = resolve_identities(metrics, rules) if identities is None else identities
-    joined = metrics.join(
-        identities.select("asset_id", "asset", topic_prefix().alias("_prefix")), "asset_id", "left"
+def with_topics(metrics: DataFrame, rules: MappingRules, root: str = "") -> DataFrame:
+    """Add ``topic`` and ``device_id`` to metric rows, without a shuffle."""
+    joined = with_identity(metrics, rules).withColumn(
+        "_prefix", F.when(F.col("enterprise").isNotNull(), topic_prefix())
     )
     fallback = text.sanitize_segment(F.lit(rules.default.get("enterprise") or "Default"))
     lead = F.concat(F.col("submodel"), F.lit("."))
