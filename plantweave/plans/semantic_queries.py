@@ -454,11 +454,14 @@ def current_payloads(spark, sf):
             "topic", "timestamp_ms", "elem_order", "value_json", "semantic_id", "unit", "value_type", "aas_source"
         )
     )
-    payload = semantics.payload("inline", None, SOURCE)
-    return changed.groupBy("topic").agg(
-        F.max_by(payload, F.struct("timestamp_ms", "elem_order")).alias("payload"),
+    fields = ["value_json", "semantic_id", "unit", "value_type", "aas_source", "timestamp_ms"]
+    last = changed.groupBy("topic").agg(
+        F.max_by(F.struct(*fields), F.struct("timestamp_ms", "elem_order")).alias("m"),
         F.count(F.lit(1)).alias("changes"),
     )
+    # The payload is built once per topic, from its last changed row.
+    payload = semantics.payload("inline", None, SOURCE)
+    return last.select("topic", "changes", "m.*").select("topic", payload.alias("payload"), "changes")
 
 
 # -- type codes ---------------------------------------------------------------
