@@ -6,7 +6,8 @@
    which later blocks have it too.
 3. The first block joins neighbouring windows into passages and sends their text on.
 4. Each later block compiles Aho-Corasick automata over the passages it received, and
-   streams its documents through them. Words stand as single characters, so a match is
+   streams its documents through them (all that share a window's hash with a passage;
+   the others have none). Words stand as single characters, so a match is
    one of whole words. The automata hold aligned pieces of the passages, seven words for
    windows of thirteen: each window holds one whole piece. A hit is extended along the
    passage, word by word, and counts if it covers a window.
@@ -125,6 +126,19 @@ def _send_passages(window: int):
     return run
 
 
+def _same(a: str, i: int, b: str, j: int, most: int) -> int:
+    """How many characters from ``a[i]`` and ``b[j]`` on agree, ``most`` at most."""
+    n, step = 0, 32
+    while n < most and step:
+        step = min(step, most - n)
+        if a[i + n : i + n + step] == b[j + n : j + n + step]:
+            n += step
+            step *= 2
+        else:
+            step //= 2
+    return n
+
+
 class _Automaton:
     """Passages as strings of one character a word, and an automaton over their aligned pieces."""
 
@@ -169,18 +183,17 @@ class _Automaton:
                 lo = max(0, shift)
                 hi = min(len(text), shift + len(string))
                 if text[lo:hi] != string[lo - shift : hi - shift]:
-                    left, right = end - piece + 1, end + 1
+                    right = end + 1 + _same(text, end + 1, string, end + 1 - shift, hi - end - 1)
+                    left = end - piece + 1
                     while left > lo and text[left - 1] == string[left - 1 - shift]:
                         left -= 1
-                    while right < hi and text[right] == string[right - shift]:
-                        right += 1
                     lo, hi = left, right
                 done[n, shift] = hi - 1
                 if hi - lo >= self.window:
                     covered[lo:hi] = b"\1" * (hi - lo)
 
 
-def _automata(passages: Iterator[tuple[int, bytes]], window: int, size: int) -> Iterator[_Automaton]:
+def _automata(passages: list[tuple[int, bytes]], window: int, size: int) -> Iterator[_Automaton]:
     """Automata over at most about ``size`` words of passages each."""
     held, words = [], 0
     for first_id, text in passages:
@@ -200,24 +213,27 @@ def _locate(window: int, size: int):
             return pa.Table.from_pylist([], schema=_RESULT)
         docs = store.Block(block.to_pylist()[0])
         here = _Windows(docs, window)
-        own = list(zip(*here.passages(here.recurring_here())))
-        sent = ((i, t) for r in received.to_pylist() for i, t in zip(r["first_ids"], r["texts"]))
+        passages = list(zip(*here.passages(here.recurring_here())))
+        passages += [(i, t) for r in received.to_pylist() for i, t in zip(r["first_ids"], r["texts"])]
+        # A document that shares no window's hash with any passage has none of them.
+        raw = b" ".join(t for _, t in passages)
+        known = runs(Words(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]), NOT_BLANK).hashes(), window)
+        to_search = np.unique(here.words.doc[here.at[np.isin(here.hashes, known)]])
+        del here, raw, known
         words = [docs.text(i).split() for i in range(len(docs))]
         covered = [bytearray(len(w)) for w in words]
-        del here
-        for automaton in _automata((p for source in (own, sent) for p in source), window, size):
-            for i, split in enumerate(words):
-                if len(split) >= window:
-                    automaton.mark(split, int(docs.ids[i]), covered[i])
+        for automaton in _automata(passages, window, size):
+            for i in to_search:
+                automaton.mark(words[i], int(docs.ids[i]), covered[i])
         kept = [
-            b" ".join([w for w, c in zip(ws, cs) if not c] if any(cs) else ws).decode("utf-8", "replace")
+            b" ".join([w for w, c in zip(ws, cs) if not c] if 1 in cs else ws).decode("utf-8", "replace")
             for ws, cs in zip(words, covered)
         ]
         return pa.table(
             [
                 pa.array(docs.ids, pa.int64(), mask=docs.missing),
                 pa.array([len(w) for w in words], pa.int64()),
-                pa.array([sum(c) for c in covered], pa.int64()),
+                pa.array([c.count(1) for c in covered], pa.int64()),
                 pa.array(kept, pa.string()),
             ],
             schema=_RESULT,

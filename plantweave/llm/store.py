@@ -22,7 +22,13 @@ from pyspark.sql import functions as F
 
 from plantweave.llm.words import lower_ascii
 
-_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of the jobs that write intermediate tables: shuffle files go as soon as a job
+#: has ended, and texts pass between Spark and Python in batches of a few megabytes.
+_SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+}
 
 BLOCK_SCHEMA = "block long, n int, ids binary, missing binary, lengths binary, texts binary"
 
@@ -38,21 +44,26 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 @contextlib.contextmanager
-def released_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the jobs inside go as soon as each job has ended."""
-    before = spark.conf.get(_RELEASE, "false")
-    spark.conf.set(_RELEASE, "true")
+def lean_jobs(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside run with ``_SETTINGS``; the session's own settings return afterwards."""
+    before = {key: spark.conf.get(key, None) for key in _SETTINGS}
     try:
+        for key, value in _SETTINGS.items():
+            spark.conf.set(key, value)
         yield
     finally:
-        spark.conf.set(_RELEASE, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again, which cuts its lineage."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    with released_shuffles(spark):
+    with lean_jobs(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -87,18 +87,20 @@ class Words:
         self.counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(bounds) - 1), self.counts)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, most: int | None = None) -> np.ndarray:
+        """Hash of each word, or of its first ``most`` bytes."""
+        word_ends = self.ends if most is None else np.minimum(self.ends, self.starts + most)
         out = np.empty(len(self.starts), dtype=np.uint64)
         cuts = np.searchsorted(self.starts, np.arange(0, len(self.raw) + _CHUNK, _CHUNK))
         for a, b in zip(cuts[:-1], cuts[1:]):
             if a == b:
                 continue
-            base, stop = self.starts[a], self.ends[b - 1]
+            base, stop = self.starts[a], word_ends[b - 1]
             up, down = _power_pair(_BYTE_BASE, stop - base)
             total = np.zeros(stop - base + 1, dtype=np.uint64)
             np.cumsum((self.raw[base:stop].astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
             starts = self.starts[a:b] - base
-            out[a:b] = mix((total[self.ends[a:b] - base] - total[starts]) * down[starts])
+            out[a:b] = mix((total[word_ends[a:b] - base] - total[starts]) * down[starts])
         return out
 
     def run_starts(self, n: int) -> np.ndarray:
