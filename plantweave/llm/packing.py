@@ -52,15 +52,25 @@ class Encoder:
     def parts(self, text: str) -> list[str]:
         return self._PART.split(text) if self._BLANKS.search(text) else text.split(" ")
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _learn(self, cut: list[list[str]]) -> dict[str, bytes]:
+        """Ids of all these parts behind a blank."""
         if len(self.known) > self.remembered:
             self.known.clear()
-        cut = [self.parts(t) for t in texts]
         known = self.known
-        new = list({p for parts in cut for p in parts[1:] if p not in known})
+        new = list({p for parts in cut for p in parts if p not in known})
         for a in range(0, len(new), 20_000):
             some = new[a : a + 20_000]
             known.update(zip(some, self._encode([" " + p for p in some])))
+        return known
+
+    def counts(self, head: str, rest: list[str]) -> list[int]:
+        """Tokens of a text's first part and of each further part with its blank."""
+        known = self._learn([rest])
+        return [len(x) // 4 for x in (*self._encode([head]), *(known[p] for p in rest))]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [self.parts(t) for t in texts]
+        known = self._learn([parts[1:] for parts in cut])
         heads = self._encode([parts[0] for parts in cut])
         return [head + b"".join([known[p] for p in parts[1:]]) for head, parts in zip(heads, cut)]
 

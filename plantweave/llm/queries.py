@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantweave.llm import language, toxicity
+import corpus_pipeline
+from plantweave.llm import language, pii, toxicity
+from plantweave.llm.counting import count_edited
 from plantweave.llm.decontamination import find_contamination
+from plantweave.llm.extraction import extract_text
 from plantweave.llm.jaccard import similar_groups
 from plantweave.llm.packing import pack_pieces, token_pieces
 from plantweave.llm.phrases import remove_repeated_passages
@@ -40,13 +43,6 @@ def _fold(of: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % of, F.lit(-1))
 
 
-def tokenizer_path() -> str:
-    """The public byte-level vocabulary; its package has the file on every machine."""
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 @query("op1_language_mixture")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
@@ -75,6 +71,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op3_html_text")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 @query(
     "op4_bit_sliced_topk",
     """
@@ -94,7 +95,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_best_fit_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = token_pieces(_table(spark, sf_dir, "documents"), tokenizer_path())
+    pieces = token_pieces(_table(spark, sf_dir, "documents"), corpus_pipeline.tokenizer_path())
     packed = pack_pieces(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
@@ -129,6 +130,41 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def _span_text(spans: Column) -> Column:
+    one = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    return F.array_join(F.transform(spans, one), ",")
+
+
+@query("op8_personal_data")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_personal_data(docs, pii.train(docs))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select(
+        "doc_id",
+        *[count(k) for k in pii.KINDS],
+        F.sha2(_span_text(F.col("base")), 256).alias("base_sha256"),
+        _span_text(F.col("spans")).alias("spans"),
+    )
+
+
+@query("op9_edit_counts")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text under the edits a cleaning pass makes: personal data is masked, runs of marks go.
+
+    Edits run from the end of the text to its start, so their positions hold as they are.
+    """
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    marks = r"([%*$&#!])\1\1++"
+    found = pii.base_spans(docs.withColumn("marks", pii.matches(F.col("text"), marks)))
+    edit = lambda s, new: F.struct(s["start"].alias("start"), s["end"].alias("end"), new.alias("replacement"))
+    mask = F.transform("base", lambda s: edit(s, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
+    drop = F.transform("marks", lambda s: edit(s, F.lit("")))
+    edits = F.reverse(F.array_sort(F.concat(mask, drop)))
+    counted = count_edited(found.select("doc_id", "text", edits.alias("edits")), corpus_pipeline.tokenizer_path())
+    return counted.select("doc_id", "n_tokens", "n_edited", "n_edits", "n_encoded", F.sha2("edited", 256).alias("edited_sha256"))
+
+
 @query(
     "op10_decontamination",
     rf"""
@@ -164,3 +200,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
