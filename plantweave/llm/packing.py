@@ -45,10 +45,19 @@ class Encoder:
         self.remembered = remembered
         self.known: dict[str, bytes] = {}
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part behind a blank: one run of the tokenizer over all, cut where the parts begin."""
+        found = self.tokenizer.encode(" " + " ".join(parts), add_special_tokens=False)
+        ids = np.array(found.ids, dtype="<u4").tobytes()
+        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1
+        begins = np.fromiter((o[0] for o in found.offsets), dtype=np.int64)
+        cuts = (4 * np.r_[np.searchsorted(begins, np.cumsum(sizes) - sizes), len(begins)]).tolist()
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
     def parts(self, text: str) -> list[str]:
         return self._PART.split(text) if self._BLANKS.search(text) else text.split(" ")
 
@@ -57,11 +66,12 @@ class Encoder:
         if len(self.known) > self.remembered:
             self.known.clear()
         known = self.known
-        new = list({p for parts in cut for p in parts if p not in known})
+        here = set().union(*cut)
+        new = [p for p in here if p not in known]
         for a in range(0, len(new), 20_000):
             some = new[a : a + 20_000]
-            known.update(zip(some, self._encode([" " + p for p in some])))
-        return known
+            known.update(zip(some, self._encode_parts(some)))
+        return {p: known[p] for p in here}
 
     def counts(self, head: str, rest: list[str]) -> list[int]:
         """Tokens of a text's first part and of each further part with its blank."""
@@ -70,9 +80,10 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.parts(t) for t in texts]
-        known = self._learn([parts[1:] for parts in cut])
         heads = self._encode([parts[0] for parts in cut])
-        return [head + b"".join([known[p] for p in parts[1:]]) for head, parts in zip(heads, cut)]
+        rest = [parts[1:] for parts in cut]
+        find = self._learn(rest).__getitem__
+        return [head + b"".join(map(find, parts)) for head, parts in zip(heads, rest)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -88,7 +99,7 @@ def token_pieces(
     end_id: int = 2,
     id_column: str = "doc_id",
     text_column: str = "text",
-    batch_bytes: int = 1 << 20,
+    batch_bytes: int = 2 << 20,
 ) -> DataFrame:
     """Pieces of each document: ``id_column``, ``piece``, ``start``, ``length`` and ``ids`` (little-endian 32-bit).
 
