@@ -114,7 +114,7 @@ def count_edited(
         own = encoder(tokenizer_path)
         for batch in store.slices(batches, "text", 1 << 20):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            counts = [len(ids) // 4 for ids in own.encode(texts)]
+            counts = [len(own.ids(t)) // 4 for t in texts]
             rows = []
             for text, n, edits in zip(texts, counts, batch.column("edits").to_pylist()):
                 edits = [e for e in edits or [] if e is not None]
