@@ -172,14 +172,13 @@ class Complements:
         ok = np.flatnonzero((left[a] > 0) & (left[gap - a] > (a == gap - a)))
         return (int(a[ok[-1]]), int(gap - a[ok[-1]])) if len(ok) else None
 
-    def filling(self, length: int) -> tuple[int, ...] | None:
-        """One, two or three available lengths that fill up a sequence begun with ``length``."""
+    def filling(self, length: int, parts: int) -> tuple[int, ...] | None:
+        """That many available lengths (one to three) that fill up a sequence begun with ``length``."""
         gap = len(self.counts) - 1 - length
-        if gap and self.counts[gap] > (gap == length):
-            return (gap,)
-        pair = self._pair(gap, {length: 1})
-        if pair:
-            return pair
+        if parts == 1:
+            return (gap,) if gap and self.counts[gap] > (gap == length) else None
+        if parts == 2:
+            return self._pair(gap, {length: 1})
         for first in np.flatnonzero(self.counts[1 : max(1, gap - 1)])[::-1] + 1:
             first = int(first)
             if self.counts[first] > (first == length):
@@ -191,11 +190,7 @@ class Complements:
         return None
 
 
-def plan_sequences(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """Contents of sequences and how many there are of each; ``counts[n]``: pieces of length n.
-
-    Each step uses up a length, so there are at most as many steps as lengths.
-    """
+def _plan(counts: np.ndarray, most_parts: int) -> list[tuple[tuple[int, ...], int]]:
     left = counts.astype(np.int64).copy()
     capacity = len(left) - 1
     plan: list[tuple[tuple[int, ...], int]] = []
@@ -203,17 +198,18 @@ def plan_sequences(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
         plan.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
     index = Complements(left)
-    for length in range(capacity - 1, 0, -1):
-        while left[length]:
-            rest = index.filling(length)
-            if rest is None:
-                break
-            content = (length, *rest)
-            uses = {x: content.count(x) for x in content}
-            times = min(int(left[x]) // n for x, n in uses.items())
-            for x, n in uses.items():
-                left[x] -= n * times
-            plan.append((content, times))
+    for parts in range(1, most_parts + 1):
+        for length in range(capacity - 1, 0, -1):
+            while left[length]:
+                rest = index.filling(length, parts)
+                if rest is None:
+                    break
+                content = (length, *rest)
+                uses = {x: content.count(x) for x in content}
+                times = min(int(left[x]) // n for x, n in uses.items())
+                for x, n in uses.items():
+                    left[x] -= n * times
+                plan.append((content, times))
     # Best fit for what no combination fills exactly, longest first.
     opened: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     for length in range(capacity, 0, -1):
@@ -238,6 +234,18 @@ def plan_sequences(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     return plan + [x for group in opened.values() for x in group]
 
 
+def plan_sequences(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Contents of sequences and how many there are of each; ``counts[n]``: pieces of length n.
+
+    Single complements are used up first, then pairs, then triples. Triples and pairs also
+    spend pieces that best fit could use well, so plans with and without them are made and
+    the one with fewest sequences is taken. Each step uses up a length, so there are only
+    some thousand steps, however many pieces.
+    """
+    plans = [_plan(counts, parts) for parts in (3, 2, 1)]
+    return min(plans, key=lambda plan: sum(times for _, times in plan))
+
+
 def _slots(plan: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, ...]:
     """For numbers of pieces within a length, in order: length, first number, first sequence, offset."""
     used: dict[int, int] = {}
