@@ -36,8 +36,12 @@ def _by_row(docs: DataFrame) -> DataFrame:
 
 
 def _kept(docs: DataFrame, rows: DataFrame, condition: Column) -> DataFrame:
-    """Rows of ``docs`` for which the operator's result, keyed by the row's number, meets the condition."""
-    return docs.join(rows.filter(condition).select(F.col("doc_id").alias("row__")), "row__", "left_semi").drop("row__")
+    """Rows of ``docs`` for which the operator's result, keyed by the row's number, meets the condition.
+
+    The numbers are written first, so the operator's memory is free again when texts are joined.
+    """
+    numbers = store.materialise(rows.filter(condition).select(F.col("doc_id").alias("row__")), "kept")
+    return docs.join(numbers, "row__", "left_semi").drop("row__")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
