@@ -7,7 +7,7 @@ written as Parquet to the shared folder and read again.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantweave.llm import pii, store, toxicity
@@ -26,30 +26,23 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _numbered(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with ``row__``, a number that stays the same in later passes; ids may be null or repeated."""
-    return store.materialise(docs.withColumn("row__", F.monotonically_increasing_id()), name)
+def _apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under neutral column names, which clash with none of an operator's, and those names."""
+    names = {c: f"c{i}__" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
 
 
-def _by_row(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("row__").alias("doc_id"), "text")
-
-
-def _kept(docs: DataFrame, rows: DataFrame, condition: Column) -> DataFrame:
-    """Rows of ``docs`` for which the operator's result, keyed by the row's number, meets the condition.
-
-    The numbers are written first, so the operator's memory is free again when texts are joined.
-    """
-    numbers = store.materialise(rows.filter(condition).select(F.col("doc_id").alias("row__")), "kept")
-    return docs.join(numbers, "row__", "left_semi").drop("row__")
+def _back(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    return rows.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 1: documents whose score is 0.5 or more go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels, F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    numbered = _numbered(docs, "toxicity-stage")
-    return _kept(numbered, toxicity.score(_by_row(numbered), model), F.col("score") < 0.5)
+    apart, names = _apart(docs)
+    scored = toxicity.score(apart.withColumn("id__", F.lit(0)), model, "id__", names["text"], tuple(names.values()))
+    return _back(scored.filter("score < 0.5"), names)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +50,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Among rows that repeat that id, or if no member has an id, one row stays.
     """
-    numbered = _numbered(docs, "join-stage")
-    groups = store.materialise(similar_groups(_by_row(numbered)).select("doc_id", "component_id", "n_shingles"), "join-groups")
+    # Rows get a number that stays the same in later passes; ids may be null or repeated.
+    numbered = store.materialise(docs.withColumn("row__", F.monotonically_increasing_id()), "join-stage")
+    by_row = numbered.select(F.col("row__").alias("doc_id"), "text")
+    groups = store.materialise(similar_groups(by_row).select("doc_id", "component_id", "n_shingles"), "join-groups")
     ids = groups.join(numbered.select(F.col("row__").alias("doc_id"), F.col("doc_id").alias("id")), "doc_id")
     place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("doc_id").alias("row__"))
     first = ids.groupBy("component_id").agg(F.min(place).alias("first")).select("first.row__")
@@ -67,9 +62,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 3: documents that hold a window of a benchmark item go."""
-    numbered = _numbered(docs, "benchmark-stage")
-    found = find_contamination(_by_row(numbered), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _kept(numbered, found, F.col("n_hit") == 0)
+    apart, names = _apart(docs)
+    found = find_contamination(
+        apart.withColumn("id__", F.lit(0)),
+        spark.read.parquet(f"{sf_dir}/benchmark.parquet"),
+        id_column="id__",
+        text_column=names["text"],
+        keep=tuple(names.values()),
+    )
+    return _back(found.filter("n_hit = 0"), names)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,12 +8,14 @@ extended to the windows around it. Shorter items are one window each and match a
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from plantweave.llm import store
 from plantweave.llm.words import ALNUM, Words, lower_ascii, runs
@@ -124,7 +126,7 @@ def _search(words: Words, hashes: np.ndarray, bench: BenchmarkBlock, window: int
     return tuple(np.concatenate(x).astype(np.int64) for x in (starts, sizes, docs, items))
 
 
-def _result(ids: pa.Array, words: Words, covered: np.ndarray, named: list[list[str]]) -> pa.RecordBatch:
+def _result(ids: pa.Array, words: Words, covered: np.ndarray, named: list[list[str]], kept: dict[str, pa.Array]) -> pa.RecordBatch:
     """``covered``: hit or not, per word of all documents."""
     edge = np.diff(np.r_[0, covered.view(np.int8), 0])
     # A span ends at its document's end.
@@ -148,16 +150,17 @@ def _result(ids: pa.Array, words: Words, covered: np.ndarray, named: list[list[s
             pa.array(total[words.first[1:]] - total[words.first[:-1]], pa.int64()),
             spans,
             pa.array(named, pa.list_(pa.string())),
+            *kept.values(),
         ],
-        schema=_ARROW,
+        names=[*_ARROW.names, *kept],
     )
 
 
-def _scan(block, window: int, gram: int, batch_bytes: int):
+def _scan(block, window: int, gram: int, batch_bytes: int, text_column: str, keep: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench: BenchmarkBlock = block.value
-        for batch in store.slices(batches, "text", batch_bytes):
-            raw, bounds, _ = store.text_buffers(batch.column("text"))
+        for batch in store.slices(batches, text_column, batch_bytes):
+            raw, bounds, _ = store.text_buffers(batch.column(text_column))
             words, hashes = _words(raw, bounds)
             starts, sizes, docs, items = _search(words, hashes, bench, window, gram)
             change = np.zeros(len(hashes) + 1, dtype=np.int64)
@@ -167,7 +170,8 @@ def _scan(block, window: int, gram: int, batch_bytes: int):
             if len(docs):
                 for d, i in np.unique(np.stack([docs, items], axis=1), axis=0):
                     named[d].add(bench.names[i])
-            yield _result(batch.column("key"), words, np.cumsum(change)[:-1] > 0, [sorted(s) for s in named])
+            kept = {c: batch.column(c) for c in keep}
+            yield _result(batch.column("key"), words, np.cumsum(change)[:-1] > 0, [sorted(s) for s in named], kept)
 
     return run
 
@@ -191,6 +195,10 @@ def _merge(rows: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([row], schema=_ARROW)
 
 
+def _parse(ddl: str) -> list:
+    return list(StructType.fromDDL(ddl))
+
+
 def benchmark_blocks(items: DataFrame, window: int, gram: int, block_bytes: int) -> Iterator[BenchmarkBlock]:
     """Items (name, text) in parts of at most ``block_bytes`` of text (or one item), fetched one by one."""
     names, texts, size = [], [], 0
@@ -216,14 +224,16 @@ def find_contamination(
     gram: int = 5,
     benchmark_block_bytes: int = 4 << 20,
     batch_bytes: int = 2 << 20,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Per document: ``id_column``, ``n_words``, ``n_hit``, ``spans`` of hit words and the names of the ``items`` found.
+    """Per document: ``id_column``, ``n_words``, ``n_hit``, ``spans`` of hit words, the names of the ``items`` found, and ``keep``.
 
     Words are runs of digits, letters a-z (A-Z are lower-cased) and non-ASCII characters.
     An item of fewer than ``window`` words is one window; one without words is never found.
     A null text has no words; a document without hits has empty lists. Repeated rows each
     give a row, a null id stays null, an item without id is called ``null``, and equal item
-    ids count once. An empty benchmark hits nothing. Other columns are not read.
+    ids count once. An empty benchmark hits nothing. Columns not named are not read; those in
+    ``keep`` must not be called like the result's own, ``key`` or ``row__``.
 
     Only parts of the benchmark of bounded size are broadcast. A larger benchmark is
     searched part by part, and the parts' results are merged per document.
@@ -235,18 +245,16 @@ def find_contamination(
     blocks = [spark.sparkContext.broadcast(b) for b in benchmark_blocks(items, window, gram, benchmark_block_bytes)]
     if not blocks:
         blocks = [spark.sparkContext.broadcast(BenchmarkBlock([], [], window, gram))]
-    texts = docs.select(F.col(id_column).cast("long").alias("key"), F.col(text_column).alias("text"))
+    kept = [c for c in keep if c != text_column]
+    texts = docs.select(F.col(id_column).cast("long").alias("key"), text_column, *kept)
+    schema = StructType([*_parse(_SCHEMA), *[texts.schema[c] for c in keep]])
     if len(blocks) == 1:
-        return texts.mapInArrow(_scan(blocks[0], window, gram, batch_bytes), _SCHEMA).withColumnRenamed("key", id_column)
+        return texts.mapInArrow(_scan(blocks[0], window, gram, batch_bytes, text_column, keep), schema).withColumnRenamed("key", id_column)
     # Rows get a number that stays the same in each pass, as ids may be null or repeated.
-    numbered = store.materialise(texts.withColumn("row", F.monotonically_increasing_id()), "numbered")
-    by_row = numbered.select(F.col("row").alias("key"), "text")
-    found = by_row.mapInArrow(_scan(blocks[0], window, gram, batch_bytes), _SCHEMA)
-    for block in blocks[1:]:
-        found = found.unionAll(by_row.mapInArrow(_scan(block, window, gram, batch_bytes), _SCHEMA))
-    merged = found.groupBy("key").applyInArrow(_merge, _SCHEMA).withColumnRenamed("key", "row")
-    return (
-        numbered.select("row", F.col("key").alias(id_column))
-        .join(merged, "row")
-        .select(id_column, "n_words", "n_hit", "spans", "items")
-    )
+    numbered = store.materialise(texts.withColumn("row__", F.monotonically_increasing_id()), "numbered")
+    by_row = numbered.select(F.col("row__").alias("key"), text_column)
+    passes = [by_row.mapInArrow(_scan(b, window, gram, batch_bytes, text_column, ()), _SCHEMA) for b in blocks]
+    merged = functools.reduce(DataFrame.unionAll, passes).groupBy("key").applyInArrow(_merge, _SCHEMA)
+    result = ["n_words", "n_hit", "spans", "items"]
+    joined = numbered.join(merged.select(F.col("key").alias("row__"), *result), "row__")
+    return joined.select(F.col("key").alias(id_column), *result, *keep)

@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from plantweave.llm import store
 from plantweave.llm.words import ALNUM, Words, mix
@@ -195,23 +196,28 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, how: Training
     return Model(weights * slope, bias * slope + offset, how.feature_bits)
 
 
-def score(docs: DataFrame, model: Model | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``id_column`` and ``score`` for every row; without a model every score is 0.
+def score(
+    docs: DataFrame, model: Model | None, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """``id_column``, ``score`` and the columns ``keep`` for every row; without a model every score is 0.
 
-    A null or empty text gets the score of a text without words. Other columns are not read.
+    A null or empty text gets the score of a text without words. Columns not named are not
+    read; those in ``keep`` must not be called ``key__``, ``score`` or like ``id_column``.
     """
-    texts = docs.select(F.col(id_column).cast("long").alias("key"), F.col(text_column).alias("text"))
+    kept = [c for c in keep if c != text_column]
+    rows = docs.select(F.col(id_column).cast("long").alias("key__"), text_column, *kept)
     if model is None:
-        return texts.select(F.col("key").alias(id_column), F.lit(0.0).alias("score"))
+        return rows.select(F.col("key__").alias(id_column), F.lit(0.0).alias("score"), *keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([("key", pa.int64()), ("score", pa.float64())])
+    out = StructType([rows.schema["key__"], StructField("score", DoubleType()), *[rows.schema[c] for c in keep]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         wanted = m.weights != 0
-        for batch in store.slices(batches, "text", 1 << 20):
-            doc, feature = _features(batch.column("text"), m.bits, wanted)
+        for batch in store.slices(batches, text_column, 1 << 20):
+            doc, feature = _features(batch.column(text_column), m.bits, wanted)
             total = np.bincount(doc, weights=m.weights[feature], minlength=batch.num_rows) + m.bias
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(_sigmoid(total))], schema=schema)
+            columns = [batch.column("key__"), pa.array(_sigmoid(total)), *[batch.column(c) for c in keep]]
+            yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
-    return texts.mapInArrow(run, "key long, score double").withColumnRenamed("key", id_column)
+    return rows.mapInArrow(run, out).withColumnRenamed("key__", id_column)
