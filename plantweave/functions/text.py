@@ -97,17 +97,22 @@ def join_topic(*parts: Column) -> Column:
     return F.concat_ws("/", *[F.nullif(p, F.lit("")) for p in parts])
 
 
+def _glob_set(negated: str, members: str) -> str:
+    """Bracket of a glob as a character class; a backward range holds nothing."""
+    members = re.sub(r"(.)-(.)", lambda m: "" if m[1] > m[2] else m[0], members, flags=re.S)
+    if not members:
+        return "." if negated else "(?!)"
+    return "[" + ("^" if negated else "") + re.sub(r"([\\\[\]^&])", r"\\\1", members) + "]"
+
+
 def glob_to_regex(pattern: str) -> str:
-    """Whole-string regular expression for a shell glob; ``*`` also crosses ``/``."""
+    """Whole-string regular expression for a shell glob; ``*`` also crosses ``/``.
+
+    A bracket that is empty or never closed is literal text.
+    """
     body = re.sub(
-        r"(\*)|(\?)|\[(!?)(\]?[^\]]*)\]|(.)",
-        lambda m: ".*"
-        if m[1]
-        else "."
-        if m[2]
-        else "[" + ("^" if m[3] else "") + re.sub(r"([\\\[\]^&])", r"\\\1", m[4]) + "]"
-        if m[4] is not None
-        else re.escape(m[5]),
+        r"(\*)|(\?)|\[(?:(!)(\][^\]]*|[^\]]+)|(?!!)(\][^\]]*|[^\]]+))\]|(.)",
+        lambda m: ".*" if m[1] else "." if m[2] else re.escape(m[6]) if m[6] is not None else _glob_set(m[3], m[4] or m[5]),
         pattern,
         flags=re.S,
     )

@@ -66,8 +66,13 @@ def changed_since(
 
 
 def merge_hashes(published: DataFrame, changed: DataFrame, now_ms: Column) -> DataFrame:
-    """Upsert changed hashes; ``updated_at`` moves, ``created_at`` stays."""
+    """Upsert changed hashes; ``updated_at`` moves, ``created_at`` stays.
+
+    A topic that several rows share gets one entry, of the latest of them, so the table
+    keeps one row per topic from batch to batch.
+    """
     new = changed.select("topic", F.col("hash").alias("_hash"), now_ms.alias("_now"))
+    new = new.groupBy("topic").agg(F.max(F.struct("_now", "_hash")).alias("_last")).select("topic", "_last._hash", "_last._now")
     merged = published.join(new, "topic", "full_outer")
     return merged.select(
         "topic",
@@ -84,7 +89,7 @@ def not_expired(published: DataFrame, as_of_ms: int | Column, ttl_ms: int = DAY_
     return published.filter(~old)
 
 
-def cap_entries(published: DataFrame, max_entries: int = 50_000) -> DataFrame:
+def cap_entries(published: DataFrame, max_entries: int) -> DataFrame:
     """Keep the newest entries by creation time; the cap is the feature."""
     return published.orderBy(F.col("created_at").desc(), "topic").limit(max_entries)
 

@@ -111,7 +111,7 @@ def _members(source: str, path: str, order: str) -> str:
     parts = f"transform({listed}, c -> try_variant_get(c, '$', '{_ELEMENT}'))"
     return (
         f"transform({parts}, (c, i) -> named_struct('el', c, 'path', {path}, "
-        f"'ord', concat({order}, '/', lpad(i, 7, '0'))))"
+        f"'ord', concat({order}, '/', lpad(i, 10, '0'))))"
     )
 
 
@@ -230,5 +230,5 @@ def flatten_documents(
         F.col("source").alias("aas_source"),
         F.col("event_ts").alias("timestamp_ms"),
         "submodel_semantic_id",
-        F.concat(F.lpad(F.col("sm_pos").cast("string"), 7, "0"), F.col("leaf.ord")).alias("elem_order"),
+        F.concat(F.lpad(F.col("sm_pos").cast("string"), 10, "0"), F.col("leaf.ord")).alias("elem_order"),
     )

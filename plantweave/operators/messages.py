@@ -52,7 +52,7 @@ def touch_aliases(aliases: DataFrame, accesses: DataFrame) -> DataFrame:
     )
 
 
-def evict_aliases(aliases: DataFrame, max_entries: int = 100_000) -> tuple[DataFrame, DataFrame]:
+def evict_aliases(aliases: DataFrame, max_entries: int) -> tuple[DataFrame, DataFrame]:
     """(kept, evicted): at the cap the least recently used tenth of the cap goes."""
     full = aliases.agg(F.count(F.lit(1)) >= max_entries).scalar()
     oldest = (
@@ -309,24 +309,23 @@ def requests_rebirth(metrics: Column) -> Column:
 
 
 def rebirths(requests: DataFrame, state: DataFrame, stored_births: DataFrame) -> DataFrame:
-    """Births to replay for requests (node, device_id or NULL for all, seq, ts).
+    """Births to replay for requests (node, device_id or NULL for all of the node, ts).
 
-    Devices with current state get a full birth from it, others their stored birth
-    with a new sequence number and time.
+    ``state`` and ``stored_births`` name the node of each device. A request without device
+    concerns the devices of its own node only. Devices with current state get a full birth
+    from it, others their stored birth with a new sequence number and time.
     """
-    known = state.groupBy("device_id").agg(F.count(F.lit(1)).alias("metric_count"))
-    devices = known.join(
-        stored_births.select("device_id", "payload"), "device_id", "full_outer"
-    )
-    one = requests.filter("device_id IS NOT NULL").join(devices, "device_id")
-    # A node request concerns every device of the node, so the devices are read once
-    # and each gets the node's latest request.
-    nodes = requests.filter("device_id IS NULL").agg(F.max("ts").alias("ts")).filter("ts IS NOT NULL")
-    every = devices.withColumn("ts", nodes.select("ts").scalar()).filter("ts IS NOT NULL")
-    columns = ["device_id", "ts", "metric_count", "payload"]
-    chosen = one.select(*columns).unionByName(every.select(*columns))
-    return chosen.groupBy("device_id").agg(
-        F.max("ts").alias("ts"),
-        F.max(F.when(F.col("metric_count") > 0, "state").otherwise("stored")).alias("source"),
-        F.max(F.coalesce("metric_count", F.lit(0))).alias("metric_count"),
+    known = state.groupBy("node", "device_id").agg(F.count(F.lit(1)).alias("metric_count"))
+    stored = stored_births.select("node", "device_id", "payload")
+    devices = known.join(stored, ["node", "device_id"], "full_outer")
+    # One request per device and per node before the join, however often they were sent.
+    own = requests.filter("device_id IS NOT NULL").groupBy("device_id").agg(F.max("ts").alias("own_ts"))
+    whole = requests.filter("device_id IS NULL").groupBy("node").agg(F.max("ts").alias("node_ts"))
+    asked = devices.join(own, "device_id", "left").join(whole, "node", "left")
+    return asked.filter("own_ts IS NOT NULL OR node_ts IS NOT NULL").select(
+        "node",
+        "device_id",
+        F.greatest("own_ts", "node_ts").alias("ts"),
+        F.when(F.col("metric_count") > 0, "state").otherwise("stored").alias("source"),
+        F.coalesce("metric_count", F.lit(0)).cast("long").alias("metric_count"),
     )

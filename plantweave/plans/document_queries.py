@@ -40,7 +40,7 @@ def submodel_assets(spark, sf):
 
 
 _T = "'TechnicalData."
-_LINES = """lines AS (SELECT l_partkey, min(l_quantity) AS qmin, max(l_quantity) AS qmax, list(l_quantity ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity)[1:5] AS qs
+_LINES = """lines AS (SELECT l_partkey, min(l_quantity) AS qmin, max(l_quantity) AS qmax, list(l_quantity ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity) AS qs
   FROM lineitem GROUP BY l_partkey),
 p AS (SELECT *, CAST(p_partkey AS VARCHAR) AS pk FROM part LEFT JOIN lines ON p_partkey = l_partkey WHERE """ + _GOOD + ")"
 

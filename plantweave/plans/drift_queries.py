@@ -338,13 +338,13 @@ fb AS (SELECT *, 0.7::DOUBLE * sid / n + CASE WHEN keys > 0 THEN 0.3 ELSE 0.0 EN
 fc AS (SELECT *, 0.3 * structural + 0.5 * semantic + 0.2 * (1.0 - entropy) AS overall FROM fb),
 fid AS (SELECT *, CASE WHEN overall >= 0.95 THEN 'A+' WHEN overall >= 0.9 THEN 'A' WHEN overall >= 0.85 THEN 'B+' WHEN overall >= 0.8 THEN 'B'
     WHEN overall >= 0.7 THEN 'C' WHEN overall >= 0.6 THEN 'D' ELSE 'F' END AS grade,
-    list_filter([CASE WHEN sid < n THEN 'Add semantic IDs to ' || (n - sid) || ' metrics (' || CAST(round_even((n - sid) / n::DOUBLE * 100, 0) AS BIGINT) || '% missing)' END,
-      CASE WHEN unnamed > 0 THEN 'Assign id_short to ' || unnamed || ' unnamed elements' END,
-      CASE WHEN no_unit > 0 THEN 'Add units to ' || no_unit || ' numeric metrics' END,
-      CASE WHEN n - ctx > n * 0.5 THEN 'Add semantic IDs to submodels for better context' END,
-      CASE WHEN structural < 0.7 THEN 'Review AAS structure - significant path flattening detected' END,
-      CASE WHEN semantic < 0.7 THEN 'Improve semantic coverage for better interoperability' END,
-      CASE WHEN entropy > 0.3 THEN 'Enable extract_all_semantic_keys to preserve poly-hierarchical refs' END], lambda x: x IS NOT NULL) AS recs FROM fc)"""
+    list_filter([CASE WHEN sid < n THEN 'Metrics without a meaning: ' || (n - sid) || ' (' || CAST(round_even((n - sid) / n::DOUBLE * 100, 0) AS BIGINT) || '% of the asset)' END,
+      CASE WHEN unnamed > 0 THEN 'Elements without a name: ' || unnamed END,
+      CASE WHEN no_unit > 0 THEN 'Numbers without a unit: ' || no_unit END,
+      CASE WHEN n - ctx > n * 0.5 THEN 'Most metrics stand in a submodel without a meaning' END,
+      CASE WHEN structural < 0.7 THEN 'Much of the hierarchy is lost in the paths' END,
+      CASE WHEN semantic < 0.7 THEN 'Too few metrics say what they mean' END,
+      CASE WHEN entropy > 0.3 THEN 'Different meanings fall together; keep all keys of a reference' END], lambda x: x IS NOT NULL) AS recs FROM fc)"""
 
 
 _COLS = """round(overall, 9) AS overall_score, round(structural, 9) AS structural_fidelity, round(semantic, 9) AS semantic_fidelity,

@@ -274,20 +274,28 @@ def rebirth_requests(spark, sf):
 
 @query(
     "rebirths",
-    f"""WITH {_REQUESTS}, {_STORE}, state AS (SELECT 'dev-' || user_id AS device_id, count(DISTINCT event_type) AS n FROM events WHERE event_type <> 'view' AND user_id % 2 = 0 GROUP BY user_id),
-    known AS (SELECT coalesce(s.device_id, b.device_id) AS device_id, n FROM state s FULL JOIN births b ON s.device_id = b.device_id),
-    r AS (SELECT device_id, ts FROM requests UNION ALL SELECT device_id, (SELECT max(ts) FROM requests WHERE device_id LIKE '%7') FROM known)
-    SELECT device_id, max(ts) AS ts, CASE WHEN any_value(n) > 0 THEN 'state' ELSE 'stored' END AS source, coalesce(any_value(n), 0) AS metric_count
-    FROM known JOIN r USING (device_id) GROUP BY device_id""",
+    f"""WITH {_REQUESTS}, {_STORE}, state AS (SELECT user_id, count(DISTINCT event_type) AS n FROM events WHERE event_type <> 'view' AND user_id % 2 = 0 GROUP BY user_id),
+    known AS (SELECT coalesce('dev-' || s.user_id, b.device_id) AS device_id, n FROM state s FULL JOIN births b ON 'dev-' || s.user_id = b.device_id),
+    placed AS (SELECT 'node-' || (CAST(substr(device_id, 5) AS BIGINT) % 3) AS node, device_id, n FROM known),
+    whole AS (SELECT 'node-' || (user_id % 3) AS node, max(epoch_us(ts) // 1000) AS node_ts FROM events
+      WHERE user_id % 3 < 2 AND event_id IN (SELECT event_id FROM requests WHERE device_id LIKE '%7') GROUP BY ALL),
+    own AS (SELECT device_id, max(ts) AS own_ts FROM requests GROUP BY device_id)
+    SELECT node, device_id, greatest(own_ts, node_ts) AS ts, CASE WHEN n > 0 THEN 'state' ELSE 'stored' END AS source, coalesce(n, 0) AS metric_count
+    FROM placed LEFT JOIN own USING (device_id) LEFT JOIN whole USING (node) WHERE own_ts IS NOT NULL OR node_ts IS NOT NULL""",
 )
 def rebirths(spark, sf):
-    asked = requests_of(spark, sf)
-    node = asked.filter(F.col("device_id").endswith("7")).select(F.lit(None).cast("string").alias("device_id"), "ts")
+    # Devices belong to the node that their number names; two of the three nodes ask as a whole.
+    node = F.concat(F.lit("node-"), F.substring("device_id", 5, 20).cast("long") % 3)
+    asked = requests_of(spark, sf).withColumn("node", node)
+    whole = asked.filter(F.col("device_id").endswith("7") & (F.col("node") != "node-2"))
     state = (
         v.events(spark, sf).filter("event_type <> 'view' AND user_id % 2 = 0")
         .select(F.concat(F.lit("dev-"), "user_id").alias("device_id"), F.col("event_type").alias("path")).distinct()
     )
-    return messages.rebirths(asked.select("device_id", "ts").unionByName(node), state, stored_births(spark, sf))
+    requests = asked.select("node", "device_id", "ts").unionByName(
+        whole.select("node", F.lit(None).cast("string").alias("device_id"), "ts")
+    )
+    return messages.rebirths(requests, state.withColumn("node", node), stored_births(spark, sf).withColumn("node", node))
 
 
 _FAULTY = f"""{v.MESSAGES}, m AS (SELECT node, device_id, kind, ts, seq_order, CASE WHEN seq_order % 97 = 0 THEN 1 ELSE 0 END AS qos, seq_order % 89 = 0 AS retain,

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from plantweave.functions.json import json_object, quoted
 from plantweave.operators import mapping
-from plantweave.operators.ordered import top_per_key
 from plantweave.sources.rules import MappingRules, constraint_rules, mapping_rules
 
 ASSET = "https://example.com/aas/user-"
@@ -389,23 +388,12 @@ def command_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", failure.alias("failure"))
 
 
-def first_quantities(lineitem: DataFrame, n: int = 5) -> DataFrame:
-    """Quantity range of each part and its first quantities in line order."""
-    spread = lineitem.groupBy("l_partkey").agg(
-        F.min("l_quantity").alias("qmin"), F.max("l_quantity").alias("qmax")
+def part_quantities(lineitem: DataFrame) -> DataFrame:
+    """Quantity range of each part and all its quantities in line order."""
+    lines = F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity"))
+    return lineitem.groupBy("l_partkey").agg(
+        F.min("l_quantity").alias("qmin"), F.max("l_quantity").alias("qmax"), F.sort_array(lines).alias("lines")
     )
-    rows = lineitem.select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
-    order = [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_suppkey"), F.col("l_quantity")]
-    few = (
-        top_per_key(rows, ["l_partkey"], order, n)
-        .groupBy("l_partkey")
-        .agg(
-            F.sort_array(
-                F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity"))
-            ).alias("lines")
-        )
-    )
-    return spread.join(few, "l_partkey")
 
 
 def _documents_sql() -> str:
@@ -506,7 +494,7 @@ def documents_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").repartition(
         spark.sparkContext.defaultParallelism, "p_partkey"
     )
-    lines = first_quantities(table(spark, sf_dir, "lineitem"))
+    lines = part_quantities(table(spark, sf_dir, "lineitem"))
     joined = part.join(lines, part.p_partkey == lines.l_partkey, "left")
     return joined.select(
         F.expr("concat('part-', p_partkey, '.json')").alias("source"),

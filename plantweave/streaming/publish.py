@@ -45,7 +45,7 @@ class PublishingSink:
         bad.write.mode("overwrite").parquet(f"{self.folder}/bad_documents/batch={batch_id}")
         metrics = flatten.flatten_documents(parsed).checkpoint()
         # Of several versions of a document in one batch the last one counts.
-        last = latest_per_key(metrics, ["submodel", "path", "aas_source"], ["timestamp_ms", "elem_order"])
+        last = latest_per_key(metrics, ["asset_id", "submodel", "path", "aas_source"], ["timestamp_ms", "elem_order"])
         state = State(
             fingerprints=self.fingerprints.read(before=batch_id),
             hashes=self.hashes.read(before=batch_id),

@@ -76,7 +76,9 @@ def test_fidelity_of_rich_and_poor(spark, metric_rows):
     got = {r.asset_id: r for r in fidelity.report(metric_rows(*rich, *poor)).collect()}
     assert got["rich"].overall_score == pytest.approx(1.0) and got["rich"].grade == "A+" and got["rich"].recommendations == []
     assert got["poor"].structural_fidelity == pytest.approx((0.36 + 0.45) / 2) and got["poor"].semantic_fidelity == 0
-    assert got["poor"].recommendations[:3] == ["Add semantic IDs to 2 metrics (100% missing)", "Assign id_short to 1 unnamed elements", "Add units to 2 numeric metrics"]
+    assert got["poor"].recommendations[:3] == [
+        "Metrics without a meaning: 2 (100% of the asset)", "Elements without a name: 1", "Numbers without a unit: 2",
+    ]
     collapsed = {r.asset_id: r for r in fidelity.report(metric_rows(*rich), collapsed_keys=True).collect()}
     assert collapsed["rich"].entropy_loss == pytest.approx(1 - 2 / 3)
 
@@ -159,3 +161,22 @@ def test_retained_and_keyed_table(spark, tmp_path):
     for _ in range(2):  # a repeated batch changes nothing
         table.upsert(rows.filter("topic = 'a'").withColumn("ts", F.col("ts") + 5), ["topic"], ["ts"], 1)
         assert {(r.topic, r.ts) for r in table.read().collect()} == {("a", 7), ("b", 2)}
+
+
+def test_shared_topics_keep_one_hash(spark):
+    from plantweave.operators import dedup
+
+    table = spark.createDataFrame([], "topic string, hash string, updated_at long, created_at long")
+    for now in range(1, 5):
+        changed = spark.createDataFrame([("t", f"a{now}"), ("t", f"b{now}"), (f"u{now}", "c")], "topic string, hash string")
+        table = dedup.merge_hashes(table, changed, F.lit(now).cast("bigint"))
+        rows = {r.topic: (r.hash, r.updated_at, r.created_at) for r in table.collect()}
+        assert table.count() == len(rows) == 1 + now and rows["t"] == (f"b{now}", now, 1)
+
+
+def test_node_rebirth_stays_in_its_node(spark):
+    requests = spark.createDataFrame([("n0", None, 5), ("n0", None, 3), ("n1", "d2", 4)], "node string, device_id string, ts long")
+    state = spark.createDataFrame([("n0", "d0", "p"), ("n1", "d1", "p")], "node string, device_id string, path string")
+    stored = spark.createDataFrame([("n0", "d3", "b"), ("n1", "d2", "b")], "node string, device_id string, payload string")
+    got = sorted(tuple(r) for r in messages.rebirths(requests, state, stored).collect())
+    assert got == [("n0", "d0", 5, "state", 1), ("n0", "d3", 5, "stored", 0), ("n1", "d2", 4, "stored", 0)]

@@ -81,3 +81,19 @@ def test_entropy_grade_action(spark):
         "t string, s string, c double")
     got = [r[0] for r in kinds.select(scoring.action(F.col("t"), F.col("s"), F.col("c"))).collect()]
     assert got == ["monitor", "quarantine", "alert", "auto_accept", "quarantine", "alert", "alert", "monitor"]
+
+
+def test_globs_agree_with_the_shell_rule():
+    import fnmatch
+    import random
+    import re
+
+    from plantweave.functions.text import glob_to_regex
+
+    rng = random.Random(0)
+    patterns = ["List[]*", "[z-a]", "[!z-a]", "[!]", "[", "a[b", "[]a]", "[a-c]x", "[!a]?"]
+    patterns += ["".join(rng.choice("ab[]!-*?z^") for _ in range(rng.randint(1, 7))) for _ in range(3000)]
+    for p in patterns:
+        regex = re.compile(glob_to_regex(p).replace("\\z", "\\Z"))
+        for text in ("a", "b", "", "List[]x", "[", "-", "!", "ab", "[a", "a[b", "z", "^", "ax", "zb]"):
+            assert bool(regex.match(text)) == fnmatch.fnmatchcase(text, p), (p, text)
