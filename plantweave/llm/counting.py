@@ -114,14 +114,15 @@ def count_edited(
         own = encoder(tokenizer_path)
         for batch in store.slices(batches, "text", 1 << 20):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            counts = [len(own.ids(t)) // 4 for t in texts]
             rows = []
-            for text, n, edits in zip(texts, counts, batch.column("edits").to_pylist()):
+            for text, edits in zip(texts, batch.column("edits").to_pylist()):
                 edits = [e for e in edits or [] if e is not None]
                 if not edits:
+                    n = len(own.ids(text)) // 4
                     rows.append((n, n, 0, 0, text))
                     continue
                 tree = TokenTree(own, text)
+                n = tree.tokens
                 for e in edits:
                     tree.edit(e["start"] or 0, e["end"] or 0, e["replacement"] or "")
                 rows.append((n, tree.tokens, len(edits), tree.encoded, tree.text()))

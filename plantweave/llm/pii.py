@@ -51,7 +51,7 @@ def _parts(text: Column, kind: str, pattern: str, loose: bool) -> Column:
     return F.when(try_it, found)
 
 
-def _settled(docs: DataFrame, names: list[str]) -> DataFrame:
+def settled(docs: DataFrame, names: list[str]) -> DataFrame:
     """The same rows; these columns are worked out once, however often they are used later.
 
     Spark copies an expression into each place that uses it, filters included, but not
@@ -73,7 +73,7 @@ def _with_spans(docs: DataFrame, text: Column, patterns: dict[str, str], loose:
     later ones use twice, or Spark would put its expression into the per-match function.
     """
     found = docs.withColumns({f"parts_{k}": _parts(text, k, patterns[k], loose) for k in KINDS})
-    found = _settled(found, [f"parts_{k}" for k in KINDS])
+    found = settled(found, [f"parts_{k}" for k in KINDS])
     add = lambda a, x: a + x
     zero = F.lit(0)
 
@@ -110,7 +110,7 @@ def _with_spans(docs: DataFrame, text: Column, patterns: dict[str, str], loose:
     for name, make in (("steps", steps), ("sums", sums), ("places", spans), ("spans", named)):
         found = found.withColumns({f"{name}_{k}": make(k) for k in KINDS})
     found = found.drop(*[f"{p}_{k}" for p in ("parts", "steps", "sums", "places") for k in KINDS])
-    return _settled(found, [f"spans_{k}" for k in KINDS])
+    return settled(found, [f"spans_{k}" for k in KINDS])
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -155,7 +155,7 @@ def base_spans(docs: DataFrame, text_column: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_column), F.lit(""))
     found = _with_spans(docs, text, BASE, False)
     valid = [F.filter(F.col(f"spans_{k}"), lambda s: _valid(k, s["hit"])) for k in KINDS]
-    return _settled(found.withColumn("base", F.concat(*valid)).drop(*[f"spans_{k}" for k in KINDS]), ["base"])
+    return settled(found.withColumn("base", F.concat(*valid)).drop(*[f"spans_{k}" for k in KINDS]), ["base"])
 
 
 #: Feature -> number of values. Their product, times kinds and labels, bounds the table of counts.
@@ -215,7 +215,7 @@ def candidates(docs: DataFrame, text_column: str = "text") -> DataFrame:
         )
         all_kinds.append(kept)
     out = found.withColumn("loose", F.concat(*all_kinds))
-    return _settled(out.drop(*[f"spans_{k}" for k in KINDS]), ["loose"])
+    return settled(out.drop(*[f"spans_{k}" for k in KINDS]), ["loose"])
 
 
 @dataclass
@@ -334,7 +334,7 @@ def find_personal_data(docs: DataFrame, model: Trees, text_column: str = "text")
         return (F.size(s["near"]) == 0) & passes
 
     picked = F.transform(F.filter("loose", chosen), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    found = _settled(found.withColumn("added", picked), ["added"])
+    found = settled(found.withColumn("added", picked), ["added"])
     both = F.concat(plain, F.col("added"))
     by_kind = [F.array_sort(F.filter(both, lambda s: s["kind"] == k)) for k in KINDS]
     return found.withColumn("spans", F.when(F.size("added") == 0, plain).otherwise(F.concat(*by_kind))).drop("loose", "added")

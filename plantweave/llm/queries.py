@@ -156,7 +156,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     marks = r"([%*$&#!])\1\1++"
-    found = pii.base_spans(docs.withColumn("marks", pii.matches(F.col("text"), marks)))
+    found = pii.base_spans(pii.settled(docs.withColumn("marks", pii.matches(F.col("text"), marks)), ["marks"]))
     edit = lambda s, new: F.struct(s["start"].alias("start"), s["end"].alias("end"), new.alias("replacement"))
     mask = F.transform("base", lambda s: edit(s, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
     drop = F.transform("marks", lambda s: edit(s, F.lit("")))
