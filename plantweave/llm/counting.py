@@ -8,6 +8,7 @@ with the edited one), and brings the sums on the paths to the root up to date.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +27,19 @@ class TokenTree:
         self.encoder = encode
         self.leaves, tokens = self._leaves(text)
         self.size = 1 << max(0, (len(self.leaves) - 1).bit_length())
-        self.sums = np.zeros((2 * self.size, 2), dtype=np.int64)  # characters, tokens; the root is 1
-        self.sums[self.size : self.size + len(self.leaves), 0] = [len(x) for x in self.leaves]
-        self.sums[self.size : self.size + len(self.leaves), 1] = tokens
+        # Sums per node, the root is 1. Typed arrays, since an edit reads and writes single entries.
+        self.char_sums = self._sums([len(x) for x in self.leaves])
+        self.token_sums = self._sums(tokens)
+        self.encoded = 0  # tokens encoded again by edits
+
+    def _sums(self, values: list[int]) -> array:
+        sums = np.zeros(2 * self.size, dtype=np.int64)
+        sums[self.size : self.size + len(values)] = values
         level = self.size
         while level > 1:
-            self.sums[level // 2 : level] = self.sums[level : 2 * level].reshape(level // 2, 2, 2).sum(axis=1)
+            sums[level // 2 : level] = sums[level : 2 * level].reshape(-1, 2).sum(axis=1)
             level //= 2
-        self.encoded = 0  # tokens encoded again by edits
+        return array("q", sums.tobytes())
 
     def _leaves(self, text: str) -> tuple[list[str], list[int]]:
         head, *rest = self.encoder.parts(text)
@@ -41,11 +47,11 @@ class TokenTree:
 
     @property
     def characters(self) -> int:
-        return int(self.sums[1, 0])
+        return self.char_sums[1]
 
     @property
     def tokens(self) -> int:
-        return int(self.sums[1, 1])
+        return self.token_sums[1]
 
     def text(self) -> str:
         return "".join(self.leaves)
@@ -53,10 +59,10 @@ class TokenTree:
     def _find(self, at: int) -> tuple[int, int]:
         """Leaf that holds the character (the last one with text if there is none), and where the leaf starts."""
         at = max(0, min(at, self.characters - 1))
-        node, start = 1, 0
+        node, start, sums = 1, 0, self.char_sums
         while node < self.size:
             node *= 2
-            left = int(self.sums[node, 0])
+            left = sums[node]
             if at >= left:
                 at, start, node = at - left, start + left, node + 1
         return node - self.size, start
@@ -83,13 +89,22 @@ class TokenTree:
             tokens[slots - 1 :] = [sum(tokens[slots - 1 :])]
         pad = slots - len(leaves)
         self.leaves[first : last + 1] = leaves + [""] * pad
-        rows = slice(self.size + first, self.size + last + 1)
-        self.sums[rows, 0] = [len(x) for x in leaves] + [0] * pad
-        self.sums[rows, 1] = tokens + [0] * pad
-        lo, hi = (self.size + first) // 2, (self.size + last) // 2
-        while lo:
-            self.sums[lo : hi + 1] = self.sums[2 * lo : 2 * hi + 2].reshape(-1, 2, 2).sum(axis=1)
+        self._update(self.char_sums, first, last, [len(x) for x in leaves] + [0] * pad)
+        self._update(self.token_sums, first, last, tokens + [0] * pad)
+
+    def _update(self, sums: array, first: int, last: int, values: list[int]) -> None:
+        """Set leaves and bring the sums above them up to date; where their paths have met, by the difference."""
+        lo, hi = self.size + first, self.size + last
+        grown = sum(values) - sum(sums[lo : hi + 1])
+        sums[lo : hi + 1] = array("q", values)
+        lo, hi = lo // 2, hi // 2
+        while lo < hi:
+            for node in range(lo, hi + 1):
+                sums[node] = sums[2 * node] + sums[2 * node + 1]
             lo, hi = lo // 2, hi // 2
+        while lo and grown:
+            sums[lo] += grown
+            lo //= 2
 
 
 def count_edited(
@@ -114,18 +129,20 @@ def count_edited(
         own = encoder(tokenizer_path)
         for batch in store.slices(batches, "text", 1 << 20):
             texts = [t or "" for t in batch.column("text").to_pylist()]
+            edits = batch.column("edits")
+            bounds = np.asarray(edits.offsets) - edits.offsets[0].as_py()
+            starts, ends, replacements = (c.to_pylist() for c in edits.flatten().flatten())
             rows = []
-            for text, edits in zip(texts, batch.column("edits").to_pylist()):
-                edits = [e for e in edits or [] if e is not None]
-                if not edits:
+            for text, a, b in zip(texts, bounds.tolist(), bounds[1:].tolist()):
+                if a == b:
                     n = len(own.ids(text)) // 4
                     rows.append((n, n, 0, 0, text))
                     continue
                 tree = TokenTree(own, text)
                 n = tree.tokens
-                for e in edits:
-                    tree.edit(e["start"] or 0, e["end"] or 0, e["replacement"] or "")
-                rows.append((n, tree.tokens, len(edits), tree.encoded, tree.text()))
+                for edit in zip(starts[a:b], ends[a:b], replacements[a:b]):
+                    tree.edit(*edit)
+                rows.append((n, tree.tokens, b - a, tree.encoded, tree.text()))
             columns = [pa.array(c, t) for c, t in zip(zip(*rows), schema.types[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("key"), *columns], schema=schema)
 
@@ -133,10 +150,11 @@ def count_edited(
         F.col(id_column).cast("long").alias("key"),
         F.col(text_column).alias("text"),
         F.transform(
-            edits_column,
-            lambda e: F.when(
-                e.isNotNull(),
-                F.struct(e["start"].cast("int").alias("start"), e["end"].cast("int").alias("end"), e["replacement"].alias("replacement")),
+            F.filter(F.coalesce(F.col(edits_column), F.array()), lambda e: e.isNotNull()),
+            lambda e: F.struct(
+                F.coalesce(e["start"].cast("int"), F.lit(0)).alias("start"),
+                F.coalesce(e["end"].cast("int"), F.lit(0)).alias("end"),
+                F.coalesce(e["replacement"], F.lit("")).alias("replacement"),
             ),
         ).alias("edits"),
     )

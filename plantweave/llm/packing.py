@@ -95,7 +95,7 @@ class Encoder:
         for p in rest:
             if p not in known:
                 known[p] = len(self.ids(" " + p)) // 4
-        return [len(self.ids(head)) // 4, *(known[p] for p in rest)]
+        return [len(self.ids(head)) // 4 if head else 0, *(known[p] for p in rest)]
 
 
 @functools.lru_cache(maxsize=2)
