@@ -1,106 +1,173 @@
 """Greedy cooldown: emit a row only if enough time passed since the last emitted one.
 
-The rule is sequential, but each slice of the time line can be summarised on its
-own: for every possible earliest emission time the slice's last emission is a step
-function. So a key's slices are reduced in parallel, only the step functions are
-chained per key, and the slices are then replayed in parallel. What one task holds
-is bounded by the distinct milliseconds of a slice, and per key by the steps on
-the time line, never by the number of rows.
+The rule is sequential, but a slice of the time line can be summarised on its own. The
+emission before a slice lies outside it, so the slice's first emission is one of its times
+within the first cooldown, or the first time after that. Three passes follow, each a stream
+over sorted rows that holds one slice's open chains at most:
+
+1. per (key, slice), in parallel: where the chain from each possible first emission ends;
+2. per key, over those ends only: the earliest instant each slice may emit at;
+3. per (key, slice), in parallel: the emissions from that instant on.
+
+No array of a key's times is built. What the second pass reads is a slice's chains that
+differ, at most the distinct instants of one cooldown in each slice of ``SLICE`` cooldowns.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantweave.operators.ordered import time_slice
+from plantweave.operators.ordered import HOUR_MS, spread, time_slice
 
-_STEPS = "struct<entries:array<bigint>,exits:array<bigint>>"
+#: Cooldowns per slice.
+SLICE = 12
 
 
-def _last_emissions(times: np.ndarray, cooldown: int) -> np.ndarray:
-    """Per starting index, the last emission when that time is emitted first."""
-    n = len(times)
-    hop = np.searchsorted(times, times + cooldown, side="left")
-    last = np.arange(n)
-    while True:
-        nxt = hop[last]
-        if (nxt >= n).all():
-            return times[last]
-        last = np.where(nxt < n, nxt, last) if n else last
+def _groups(pdf: pd.DataFrame, columns: list[str]) -> Iterator[tuple[tuple, int, int]]:
+    """(key values, first row, end) of each run of equal keys in a sorted batch."""
+    if not len(pdf):
+        return
+    values = [pdf[c].to_numpy() for c in columns]
+    new = np.zeros(len(pdf), dtype=bool)
+    for v in values:
+        new[1:] |= v[1:] != v[:-1]
+    new[0] = True
+    starts = np.flatnonzero(new)
+    for a, b in zip(starts, np.append(starts[1:], len(pdf))):
+        yield tuple(v[a] for v in values), int(a), int(b)
 
 
-def _replay(times: np.ndarray, earliest: int | None, cooldown: int) -> list[int]:
-    out = []
-    i = 0 if earliest is None else int(np.searchsorted(times, earliest, side="left"))
-    while i < len(times):
-        out.append(int(times[i]))
-        i = int(np.searchsorted(times, times[i] + cooldown, side="left"))
-    return out
+def _advance(times: np.ndarray, last: np.ndarray, cooldown: int) -> np.ndarray:
+    """The last emission of each chain once these times are read as well."""
+    while True:
+        hop = np.searchsorted(times, last + cooldown, side="left")
+        go = hop < len(times)
+        if not go.any():
+            return last
+        last = np.where(go, times[np.minimum(hop, len(times) - 1)], last)
+
+
+class _Chains:
+    """The chains of one slice: its possible first emissions and where each has come to."""
+
+    def __init__(self, start: int, cooldown: int):
+        self.limit, self.cooldown, self.complete = start + cooldown, cooldown, False
+        self.entries = self.chain = self.last = np.zeros(0, dtype="int64")
+
+    def read(self, times: np.ndarray) -> None:
+        last = self.last[self.chain]
+        if not self.complete:
+            inside = int(np.searchsorted(times, self.limit, side="left"))
+            self.complete = inside < len(times)
+            new = np.unique(times[: inside + 1])
+            new = new[~np.isin(new, self.entries[-1:])]
+            self.entries, last = np.append(self.entries, new), np.append(last, new)
+        # Chains that have met go on as one.
+        merged, self.chain = np.unique(last, return_inverse=True)
+        self.last = _advance(times, merged, self.cooldown)
+
+    def steps(self) -> tuple[np.ndarray, np.ndarray]:
+        """Entries and ends; of a run of equal ends the largest entry stands for all."""
+        ends = self.last[self.chain]
+        keep = np.append(ends[1:] != ends[:-1], True)
+        return self.entries[keep], ends[keep]
+
+
+def _frame(columns: list[str], rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=columns)
+
+
+def _chain_ends(keys: list[str], cooldown: int) -> Callable:
+    group, columns = [*keys, "_slice"], [*keys, "_slice", "_entry", "_end"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_key, chains = None, None
+        for pdf in batches:
+            times, rows = pdf["_ts"].to_numpy(), []
+            for key, a, b in _groups(pdf, group):
+                if key != open_key:
+                    if chains is not None:
+                        rows += [(*open_key, e, x) for e, x in zip(*chains.steps())]
+                    open_key, chains = key, _Chains(int(key[-1]), cooldown)
+                chains.read(times[a:b])
+            yield _frame(columns, rows)
+        if chains is not None:
+            yield _frame(columns, [(*open_key, e, x) for e, x in zip(*chains.steps())])
+
+    return run
+
+
+def _slice_starts(keys: list[str], cooldown: int) -> Callable:
+    group, columns = [*keys, "_slice"], [*keys, "_slice", "_earliest"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_key, earliest, found = None, None, False
+        for pdf in batches:
+            entries, ends, rows = pdf["_entry"].to_numpy(), pdf["_end"].to_numpy(), []
+            for key, a, b in _groups(pdf, group):
+                if key != open_key:
+                    if open_key is None or key[:-1] != open_key[:-1]:
+                        earliest = int(key[-1])  # a key's first slice: any of its times
+                    open_key, found = key, False
+                    rows.append((*key, earliest))
+                if not found:
+                    i = a + int(np.searchsorted(entries[a:b], earliest, side="left"))
+                    if i < b:
+                        earliest, found = int(ends[i]) + cooldown, True
+            yield _frame(columns, rows)
+
+    return run
+
+
+def _emissions(keys: list[str], ts: str, cooldown: int) -> Callable:
+    group, columns = [*keys, "_slice"], [*keys, ts]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_key, earliest = None, 0
+        for pdf in batches:
+            times, starts, rows = pdf["_ts"].to_numpy(), pdf["_earliest"].to_numpy(), []
+            for key, a, b in _groups(pdf, group):
+                if key != open_key:  # the row in front tells where the slice begins
+                    open_key, earliest, a = key, int(starts[a]), a + 1
+                while (i := a + int(np.searchsorted(times[a:b], earliest, side="left"))) < b:
+                    rows.append((*key[:-1], int(times[i])))
+                    a, earliest = i + 1, int(times[i]) + cooldown
+            yield _frame(columns, rows)
+
+    return run
 
 
 def cooldown_times(
     df: DataFrame, keys: list[str], ts: str, cooldown_ms: int, slice_ms: int | None = None
 ) -> DataFrame:
-    """The emitted (key, ts) pairs."""
-    width = slice_ms or max(cooldown_ms * 12, 3_600_000)
-
-    @F.pandas_udf(_STEPS)
-    def steps(arrays: pd.Series) -> pd.DataFrame:
-        entries, exits = [], []
-        for raw in arrays:
-            times = np.asarray(raw, dtype="int64")
-            last = _last_emissions(times, cooldown_ms)
-            # Equal exits form runs; the largest entry of a run stands for it.
-            keep = np.append(last[1:] != last[:-1], True)
-            entries.append(times[keep])
-            exits.append(last[keep])
-        return pd.DataFrame({"entries": entries, "exits": exits})
-
-    @F.pandas_udf("array<struct<slice:bigint,earliest:bigint>>")
-    def chain(slices: pd.Series, entries: pd.Series, exits: pd.Series) -> pd.Series:
-        out = []
-        for sl, en, ex in zip(slices, entries, exits):
-            earliest, rows = None, []
-            for s, e, x in zip(sl, en, ex):
-                rows.append({"slice": s, "earliest": earliest})
-                i = 0 if earliest is None else int(np.searchsorted(e, earliest, side="left"))
-                if i < len(e):
-                    earliest = int(x[i]) + cooldown_ms
-            out.append(rows)
-        return pd.Series(out)
-
-    @F.pandas_udf("array<bigint>")
-    def replay(arrays: pd.Series, earliest: pd.Series) -> pd.Series:
-        return pd.Series(
-            [
-                _replay(np.asarray(a, dtype="int64"), None if pd.isna(e) else int(e), cooldown_ms)
-                for a, e in zip(arrays, earliest)
-            ]
-        )
-
-    sliced = df.select(*keys, F.col(ts).alias("_ts")).withColumn(
-        "_slice", time_slice(F.col("_ts"), width)
+    """The emitted (key, ts) pairs; rows without a key or time are left out."""
+    width = slice_ms or max(cooldown_ms * SLICE, HOUR_MS)
+    rows = df.select(*keys, F.col(ts).cast("bigint").alias("_ts")).dropna()
+    rows = rows.withColumn("_slice", time_slice(F.col("_ts"), width))
+    named = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys)
+    group = [*keys, "_slice"]
+    ends = (
+        spread(rows, *group)
+        .sortWithinPartitions(*group, "_ts")
+        .mapInPandas(_chain_ends(keys, cooldown_ms), f"{named}, _slice bigint, _entry bigint, _end bigint")
     )
-    arrays = sliced.groupBy(*keys, "_slice").agg(F.sort_array(F.collect_set("_ts")).alias("_times"))
-    chained = (
-        arrays.withColumn("_steps", steps("_times"))
-        .groupBy(*keys)
-        .agg(
-            F.sort_array(
-                F.collect_list(F.struct("_slice", "_steps.entries", "_steps.exits"))
-            ).alias("_all")
-        )
-        .select(
-            *keys,
-            F.explode(chain("_all._slice", "_all.entries", "_all.exits")).alias("_start"),
-        )
-        .select(*keys, F.col("_start.slice").alias("_slice"), "_start.earliest")
+    starts = (
+        ends.repartition(*keys)
+        .sortWithinPartitions(*group, "_entry")
+        .mapInPandas(_slice_starts(keys, cooldown_ms), f"{named}, _slice bigint, _earliest bigint")
     )
-    return arrays.join(chained, [*keys, "_slice"]).select(
-        *keys, F.explode(replay("_times", "earliest")).alias(ts)
+    # A slice's start is sorted in front of its rows.
+    first = starts.select(*group, F.lit(0).alias("_role"), F.lit(0).cast("bigint").alias("_ts"), "_earliest")
+    rest = rows.select(*group, F.lit(1).alias("_role"), "_ts", F.lit(0).cast("bigint").alias("_earliest"))
+    return (
+        spread(first.unionByName(rest), *group)
+        .sortWithinPartitions(*group, "_role", "_ts")
+        .mapInPandas(_emissions(keys, ts, cooldown_ms), f"{named}, `{ts}` bigint")
     )
 
 

@@ -49,6 +49,20 @@ def test_cooldown_equals_sequential_rule(rows, cooldown, width):
     assert {(r.k, r.ts) for r in got} == want and len(got) == len(want)
 
 
+def test_cooldown_of_one_dense_key(spark):
+    """Two million rows of one key a second apart; no array of times is built on the way."""
+    n, cooldown = 2_000_000, 300_500
+    rows = spark.range(n).select(F.lit("hot").alias("k"), (F.col("id") * 1000).alias("ts"))
+    want, last = [], None
+    for t in range(0, n * 1000, 1000):
+        if last is None or t - last >= cooldown:
+            want.append(t)
+            last = t
+    out = throttle.cooldown_times(rows, ["k"], "ts", cooldown)
+    assert sorted(r.ts for r in out.collect()) == want
+    assert "collect_" not in out._jdf.queryExecution().toString()
+
+
 def test_latest_and_top(rows):
     last = ordered.latest_per_key(rows, ["k"], ["ts", "i"]).collect()
     top = ordered.top_per_key(rows, ["k"], [F.col("ts").desc(), F.col("i").desc()], 1).collect()
