@@ -188,8 +188,8 @@ def score(
 ) -> DataFrame:
     """Anomaly score of every numeric observation against the day before.
 
-    ``windowed`` divides the mass by the reference rows, ``cumulative`` by the window
-    size. An observation without a reference window scores 0.5.
+    ``windowed`` divides the mass by the reference rows, ``cumulative`` caps it at the window
+    size and divides by that. An observation without a reference window scores 0.5.
     """
     rows, ranges = _windows(metrics)
     codes = _leaf_codes(trees, depth, seed)
@@ -238,11 +238,11 @@ def score(
     both = spread(states.unionByName(observed), *group)
     lined_up = both.sortWithinPartitions(*group, "role")
     totals = lined_up.mapInPandas(
-        _mass_of_rows(depth, window),
+        _mass_of_rows(depth, window if mode == "cumulative" else None),
         "asset_id string, path string, timestamp_ms bigint, elem_order string, value_num double, "
         "observations bigint, total_mass bigint",
     )
-    unit = F.lit(window) if mode == "cumulative" else F.least(F.lit(window), F.col("observations"))
+    unit = F.lit(window) if mode == "cumulative" else F.col("observations")
     value = F.lit(1.0) - F.col("total_mass") / (unit * (trees * depth))
     scored = F.when(F.col("observations") > 0, value).otherwise(0.5)
     return totals.select(
@@ -251,8 +251,8 @@ def score(
     )
 
 
-def _mass_of_rows(depth: int, window: int):
-    """Total mass on the paths of each row, from the counts sorted in front of it."""
+def _mass_of_rows(depth: int, cap: int | None):
+    """Total mass on the paths of each row, from the counts sorted in front of it; a node's mass is at most ``cap``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last_group, kept = None, None  # counts of the group a batch ends in
@@ -282,7 +282,7 @@ def _mass_of_rows(depth: int, window: int):
                 path = owner[:, None] * span + _path_codes(code, depth)
                 nodes, where = np.unique(path.ravel(), return_inverse=True)
                 mass = np.bincount(where, weights=np.repeat(count, depth)).astype("int64")
-                mass = np.minimum(mass, window)
+                mass = mass if cap is None else np.minimum(mass, cap)
                 wanted = np.stack(rows["codes"][known].to_numpy()).astype("int64")
                 # A code above the span belongs to a tree without counts in this batch.
                 ask = _path_codes(wanted, depth)
@@ -354,7 +354,7 @@ def reference_windows(metrics: DataFrame) -> DataFrame:
     return _windows(metrics)[1]
 
 
-def history(results: DataFrame, n: int = 100) -> DataFrame:
+def history(results: DataFrame, n: int) -> DataFrame:
     """Latest ``n`` drift results per asset."""
     return top_per_key(results, ["asset_id"], [F.col("timestamp_ms").desc(), F.col("path")], n)
 

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from plantweave.functions import types
 from plantweave.operators.ordered import latest_per_key
 
-MAX_DEPTH = 64
 
 # An element's members: scalars as text, nested parts as variants.
 _ELEMENT = (
@@ -126,17 +125,17 @@ def _children_of() -> str:
     end"""
 
 
-def walk(submodel: str, root: str, language: str = "en", max_depth: int = MAX_DEPTH) -> Column:
-    """All leaves of a submodel variant; fails when it is nested deeper than ``max_depth``."""
+def walk(submodel: str, root: str, language: str = "en") -> Column:
+    """All leaves of a submodel variant, however deep: each level opens a list, so the brackets bound the levels."""
     named = f"concat({root}, '.', coalesce(nullif(c.idShort, ''), 'unnamed'))"
     start = _members(f"try_variant_get({submodel}, '$.submodelElements', 'variant')", named, "''")
-    body = f"""aggregate(sequence(1, {max_depth}),
+    levels = f"greatest(1, length(to_json({submodel})) - length(replace(to_json({submodel}), '[', '')))"
+    body = f"""aggregate(sequence(1, {levels}),
       named_struct('todo', cast({start} as {_FRONTIER}), 'found', cast(array() as {_LEAVES})),
       (acc, depth) -> if(size(acc.todo) = 0, acc, named_struct(
         'todo', cast(flatten(transform(acc.todo, e -> {_children_of()})) as {_FRONTIER}),
         'found', cast(concat(acc.found, flatten(transform(acc.todo, e -> {_leaves_of(language)}))) as {_LEAVES}))),
-      acc -> if(size(acc.todo) = 0, acc.found,
-        raise_error('document is nested deeper than {max_depth} levels')))"""
+      acc -> acc.found)"""
     return F.expr(body)
 
 
@@ -206,15 +205,13 @@ def submodels(documents: DataFrame) -> DataFrame:
     return _submodel_rows(documents)
 
 
-def flatten_documents(
-    documents: DataFrame, language: str = "en", max_depth: int = MAX_DEPTH
-) -> DataFrame:
+def flatten_documents(documents: DataFrame, language: str = "en") -> DataFrame:
     """Metric rows of parsed documents; submodels without a name are skipped.
 
     ``documents`` has source, event_ts and doc (a variant, NULL when quarantined).
     """
     named = _submodel_rows(documents).filter(F.coalesce(F.col("submodel"), F.lit("")) != "")
-    linked = named.withColumn("leaf", F.explode(walk("sm", "submodel", language, max_depth)))
+    linked = named.withColumn("leaf", F.explode(walk("sm", "submodel", language)))
     value_type = types.xsd_name(F.col("leaf.value_type"))
     typed = types.typed_value(F.col("value_type"), F.col("leaf.literal"))
     return linked.withColumn("value_type", value_type).select(

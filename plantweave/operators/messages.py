@@ -15,8 +15,6 @@ from plantweave.operators.ordered import (
     running_before,
 )
 
-PART_SIZE = 5000
-
 
 def alias_key() -> Column:
     return F.concat(F.col("device_id"), F.lit("/"), F.col("path"))
@@ -172,8 +170,8 @@ def data_metric() -> Column:
     )
 
 
-def bodies(metrics: DataFrame, keys: list[str], metric: Column, part_size: int = PART_SIZE) -> DataFrame:
-    """Metric lists per message, ordered by alias, at most ``part_size`` per part.
+def bodies(metrics: DataFrame, keys: list[str], metric: Column, part_size: int) -> DataFrame:
+    """Metric lists per message, ordered by alias, at most ``part_size`` per part; the caller names the size.
 
     A message larger than that becomes several parts, so no list grows without bound
     and no metric is lost.

@@ -182,11 +182,11 @@ walk(is_ref, win, asset_id, elem_order, x, tree, lvl, node) AS (
   SELECT is_ref, win, asset_id, elem_order, x, t, 0, 0 FROM scaled, range({T}) a(t)
   UNION ALL SELECT w.is_ref, w.win, w.asset_id, w.elem_order, w.x, w.tree, lvl + 1, CAST(w.node * 2 + CASE WHEN x[dim + 1] < split THEN 1 ELSE 2 END AS INTEGER)
   FROM walk w JOIN nodes n ON n.tree = w.tree AND n.node = w.node WHERE lvl < {D - 1}),
-mass AS (SELECT asset_id, win, tree, node, least(count(*), {W}) AS mass FROM walk WHERE is_ref GROUP BY ALL),
-total AS (SELECT w.asset_id, w.win, w.elem_order, coalesce(sum(mass), 0) AS total FROM walk w LEFT JOIN mass m
+mass AS (SELECT asset_id, win, tree, node, count(*) AS n, least(count(*), {W}) AS mass FROM walk WHERE is_ref GROUP BY ALL),
+total AS (SELECT w.asset_id, w.win, w.elem_order, coalesce(sum(m.n), 0) AS uncapped, coalesce(sum(mass), 0) AS total FROM walk w LEFT JOIN mass m
   ON m.asset_id = w.asset_id AND m.win = w.win AND m.tree = w.tree AND m.node = w.node WHERE NOT w.is_ref GROUP BY ALL),
 scores AS (SELECT f.asset_id, path, timestamp_ms, f.elem_order, value_num, coalesce(r.n, 0) AS observations,
-    coalesce(1.0::DOUBLE - total / CAST(least({W}, r.n) * {T * D} AS DOUBLE), 0.5) AS score
+    coalesce(1.0::DOUBLE - uncapped / CAST(r.n * {T * D} AS DOUBLE), 0.5) AS score
   FROM feat f LEFT JOIN ranges r ON r.asset_id = f.asset_id AND r.win = f.day
   LEFT JOIN total t ON t.asset_id = f.asset_id AND t.win = f.day AND t.elem_order = f.elem_order),
 conf AS (SELECT *, (1.0 - exp(-observations / {W}.0::DOUBLE)) * abs(score - 0.5) * 2 AS confidence,

@@ -1,6 +1,5 @@
 import json
 
-import pytest
 
 from plantweave.operators import flatten
 from plantweave.sources import documents
@@ -71,13 +70,12 @@ def test_bad_documents_are_set_apart(spark):
     assert list(flat(spark, good, "{broken", json.dumps(good) + " x")) == ["S.a"]
 
 
-def test_too_deep_fails_and_deep_works(spark):
+def test_deep_documents_keep_all_rows(spark):
     nested = prop("leaf", "1")
-    for i in range(20):
+    for i in range(200):
         nested = coll(f"c{i}", nested)
-    assert len(flat(spark, environment(nested))) == 1
-    with pytest.raises(Exception, match="nested deeper"):
-        flat(spark, environment(nested), max_depth=10)
+    rows = flat(spark, environment(nested), environment(prop("[[a", "1")))
+    assert sorted(len(path.split(".")) for path in rows) == [2, 202]
 
 
 def test_unlinked_and_relinked_submodels(spark):
