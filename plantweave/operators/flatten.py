@@ -129,7 +129,7 @@ def walk(submodel: str, root: str, language: str = "en") -> Column:
     """All leaves of a submodel variant, however deep: each level opens a list, so the brackets bound the levels."""
     named = f"concat({root}, '.', coalesce(nullif(c.idShort, ''), 'unnamed'))"
     start = _members(f"try_variant_get({submodel}, '$.submodelElements', 'variant')", named, "''")
-    levels = f"greatest(1, length(to_json({submodel})) - length(replace(to_json({submodel}), '[', '')))"
+    levels = f"size(split(to_json({submodel}), '\\\\['))"
     body = f"""aggregate(sequence(1, {levels}),
       named_struct('todo', cast({start} as {_FRONTIER}), 'found', cast(array() as {_LEAVES})),
       (acc, depth) -> if(size(acc.todo) = 0, acc, named_struct(

@@ -231,25 +231,36 @@ def shutdown_deaths(messages: DataFrame) -> DataFrame:
     )
 
 
+def _by_session(log: DataFrame) -> DataFrame:
+    """The log with ``bd_seq``; -1 before the node's first birth."""
+    start = (F.col("kind") == "NBIRTH").cast("int")
+    counted = running_before(log, ["node"], ["ts", "seq_order"], "ts", {"_starts": ("sum", start)})
+    return counted.select(*log.columns, (F.col("_starts") + start - 1).cast("bigint").alias("bd_seq"))
+
+
 def sessions(log: DataFrame) -> DataFrame:
     """Add ``bd_seq`` and ``seq`` to a message log.
 
     ``log`` has node, kind, ts and a unique ``seq_order``. A node birth starts a
     session; the first is number 0. ``seq`` counts from 0 in each session and wraps
-    at 256. Messages before a node's first birth cannot be sent and are left out.
+    at 256. Messages before a node's first birth have no session; :func:`early_messages`
+    gives them.
     """
-    start = (F.col("kind") == "NBIRTH").cast("int")
-    order = ["ts", "seq_order"]
-    counted = running_before(log, ["node"], order, "ts", {"_starts": ("sum", start)})
-    numbered = counted.withColumn(
-        "bd_seq", (F.col("_starts") + start - 1).cast("bigint")
-    ).filter("bd_seq >= 0")
-    placed = number_in_order(numbered, ["node", "bd_seq"], order, "ts", "_n")
+    numbered = _by_session(log).filter("bd_seq >= 0")
+    placed = number_in_order(numbered, ["node", "bd_seq"], ["ts", "seq_order"], "ts", "_n")
     return placed.select(*log.columns, "bd_seq", (F.col("_n") % 256).cast("int").alias("seq"))
 
 
-def audit(messages: DataFrame) -> DataFrame:
-    """Violations of the message rules, one row per rule and node with its count."""
+def early_messages(log: DataFrame) -> DataFrame:
+    """The messages of a log that come before their node's first birth and cannot be sent."""
+    return _by_session(log).filter("bd_seq < 0").drop("bd_seq")
+
+
+def audit(messages: DataFrame, early: DataFrame) -> DataFrame:
+    """Violations of the message rules, one row per rule and node with its count.
+
+    ``messages`` are those of :func:`sessions`, ``early`` those of :func:`early_messages`.
+    """
     order = ["ts", "seq_order"]
     seen = lag_in_order(messages, ["node"], order, "ts", {"p_seq": "seq", "p_bd": "bd_seq"})
     same = F.col("p_bd").eqNullSafe(F.col("bd_seq"))
@@ -259,7 +270,7 @@ def audit(messages: DataFrame) -> DataFrame:
         .agg(F.min(F.struct(*order)).alias("_born"))
     )
     joined = seen.join(born, ["node", "bd_seq", "device_id"], "left")
-    early = (F.col("kind") == "DDATA") & ~F.coalesce(
+    unannounced = (F.col("kind") == "DDATA") & ~F.coalesce(
         F.col("_born") <= F.struct(*order), F.lit(False)
     )
     rules = {
@@ -268,10 +279,13 @@ def audit(messages: DataFrame) -> DataFrame:
         "seq_step": same & (F.col("seq") != (F.col("p_seq") + 1) % 256),
         "seq_restart": ~same & (F.col("seq") != 0),
         "bd_seq_step": F.col("p_bd").isNotNull() & ~same & (F.col("bd_seq") != F.col("p_bd") + 1),
-        "birth_before_data": early,
+        "birth_before_data": unannounced,
     }
     counts = joined.groupBy("node").agg(*[F.count_if(c).alias(r) for r, c in rules.items()])
-    pairs = [F.struct(F.lit(r).alias("rule"), F.col(r).alias("violations")) for r in rules]
+    unborn = early.groupBy("node").agg(F.count(F.lit(1)).alias("before_node_birth"))
+    counts = counts.join(unborn, "node", "full_outer").fillna(0)
+    names = [*rules, "before_node_birth"]
+    pairs = [F.struct(F.lit(r).alias("rule"), F.col(r).alias("violations")) for r in names]
     return counts.select("node", F.inline(F.array(*pairs)))
 
 

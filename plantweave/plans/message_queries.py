@@ -310,20 +310,32 @@ a AS (SELECT node, count(*) FILTER (qos <> 0) AS qos, count(*) FILTER (retain) A
     count(*) FILTER (kind = 'DDATA' AND NOT coalesce(born <= seq_order, false)) AS birth_before_data FROM j GROUP BY node)"""
 
 
+@query("messages_early", f"WITH {v.MESSAGES} SELECT seq_order, node, kind FROM numbered WHERE bd_seq < 0")
+def messages_early(spark, sf):
+    return messages.early_messages(v.message_log(spark, sf)).select("seq_order", "node", "kind")
+
+
 @query(
     "message_audit",
-    f"WITH {_FAULTY} SELECT node, rule, violations FROM (UNPIVOT a ON qos, retain, seq_step, seq_restart, bd_seq_step, birth_before_data INTO NAME rule VALUE violations)",
+    f"""WITH {_FAULTY}, early AS (SELECT node, count(*) AS before_node_birth FROM numbered WHERE bd_seq < 0 GROUP BY node),
+    c AS (SELECT node, coalesce(qos, 0) AS qos, coalesce(retain, 0) AS retain, coalesce(seq_step, 0) AS seq_step,
+      coalesce(seq_restart, 0) AS seq_restart, coalesce(bd_seq_step, 0) AS bd_seq_step,
+      coalesce(birth_before_data, 0) AS birth_before_data, coalesce(before_node_birth, 0) AS before_node_birth
+      FROM a FULL JOIN early USING (node))
+    SELECT node, rule, violations FROM (UNPIVOT c ON qos, retain, seq_step, seq_restart, bd_seq_step, birth_before_data, before_node_birth
+      INTO NAME rule VALUE violations)""",
 )
 def message_audit(spark, sf):
     n = F.col("seq_order")
-    log = messages.sessions(v.message_log(spark, sf)).select(
+    sent = v.message_log(spark, sf)
+    log = messages.sessions(sent).select(
         "node", "device_id", "kind", "ts", "seq_order",
         F.when(n % 97 == 0, 1).otherwise(0).alias("qos"),
         (n % 89 == 0).alias("retain"),
         F.when(n % 101 == 0, (F.col("seq") + 7) % 256).otherwise(F.col("seq")).alias("seq"),
         F.when(n % 103 == 0, F.col("bd_seq") + 2).otherwise(F.col("bd_seq")).alias("bd_seq"),
     )
-    return messages.audit(log)
+    return messages.audit(log, messages.early_messages(sent))
 
 
 @query(

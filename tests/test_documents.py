@@ -1,6 +1,5 @@
 import json
 
-
 from plantweave.operators import flatten
 from plantweave.sources import documents
 

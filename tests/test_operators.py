@@ -116,7 +116,12 @@ def test_sequence_wraps_and_audit_is_clean(spark):
     got = {r.seq_order: (r.bd_seq, r.seq) for r in messages.sessions(df).collect()}
     assert got[0] == (0, 0) and got[255] == (0, 255) and got[256] == (0, 0) and got[300] == (1, 0)
     sent = messages.sessions(df).withColumn("qos", F.lit(0)).withColumn("retain", F.lit(False))
-    assert {r.violations for r in messages.audit(sent).collect()} == {0}
+    assert {r.violations for r in messages.audit(sent, messages.early_messages(df)).collect()} == {0}
+    late = df.filter("seq_order > 0")
+    early = messages.early_messages(late)
+    assert early.count() == 299
+    sent = messages.sessions(late).withColumn("qos", F.lit(0)).withColumn("retain", F.lit(False))
+    assert {(r.rule, r.violations) for r in messages.audit(sent, early).collect() if r.violations} == {("before_node_birth", 299)}
 
 
 def test_bodies_split_without_loss(spark, metric_rows):
