@@ -121,12 +121,14 @@ def test_anomaly_stream_equals_brute_force(stream, data):
         assert [got[r.elem_order] for r in mine] == pytest.approx(want)
 
 
-def test_anomaly_batch_equals_brute_force(spark, data, monkeypatch):
+@pytest.mark.parametrize("mode", ["windowed", "cumulative"])
+def test_anomaly_batch_equals_brute_force(spark, data, monkeypatch, mode):
+    """Windowed: uncapped mass over the reference rows; cumulative: mass capped at the window, over the window."""
     trees, depth, window, seed = 5, 4, 10, 9
     monkeypatch.setattr(anomaly, "SALT_ROWS", 20)  # several pieces per window
     near = data.withColumn("ts", F.col("ts") * 4)  # spread over a few days
     metrics = _metrics(near)
-    got = {r.elem_order: r.anomaly_score for r in anomaly.score(metrics, trees, depth, window, seed).collect()}
+    got = {r.elem_order: r.anomaly_score for r in anomaly.score(metrics, trees, depth, window, seed, mode).collect()}
     rows = metrics.select("asset_id", "elem_order", (F.col("timestamp_ms") / 86_400_000).cast("int").alias("day"), anomaly.features().alias("f")).collect()
     dims, splits = anomaly.tree_arrays(trees, depth, seed)
     assert len({r.day for r in rows}) > 1
@@ -149,5 +151,7 @@ def test_anomaly_batch_equals_brute_force(spark, data, monkeypatch):
         total = 0
         for t in range(trees):
             seen = [n for q in ref for n in path(q, t)]
-            total += sum(min(seen.count(n), window) for n in path(r.f, t))
-        assert got[r.elem_order] == pytest.approx(1 - total / (trees * depth * min(window, len(ref))))
+            counts = [seen.count(n) for n in path(r.f, t)]
+            total += sum(counts) if mode == "windowed" else sum(min(c, window) for c in counts)
+        unit = len(ref) if mode == "windowed" else window
+        assert got[r.elem_order] == pytest.approx(1 - total / (trees * depth * unit))
