@@ -190,19 +190,31 @@ def _possible(n_a, pos_a, n_b, pos_b, percent: int) -> np.ndarray:
     return length & (np.minimum(n_a - pos_a, n_b - pos_b) >= _least_overlap(n_a + n_b, percent))
 
 
-def _pair_rows(a: np.ndarray, b: np.ndarray) -> list[dict]:
-    """Pairs of nodes, each once, keyed by the block of the larger node."""
-    lo, hi = np.minimum(a, b), np.maximum(a, b)
-    pairs = np.unique(np.stack([hi, lo], axis=1)[hi != lo], axis=0)
-    hi, lo = pairs[:, 0], pairs[:, 1]
-    blocks = hi >> _DOC_BITS
+def _keyed_rows(mine: np.ndarray, other: np.ndarray) -> list[dict]:
+    """Pairs of nodes, each once, keyed by the block of the first, which will ask for the other."""
+    pairs = np.unique(np.stack([mine, other], axis=1)[mine != other], axis=0)
+    mine, other = pairs[:, 0], pairs[:, 1]
+    blocks = mine >> _DOC_BITS
     cuts = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]]) if len(blocks) else []
     return [
-        {"block": int(blocks[s]), "mine": hi[s:e].tobytes(), "other": lo[s:e].tobytes()}
+        {"block": int(blocks[s]), "mine": mine[s:e].tobytes(), "other": other[s:e].tobytes()}
         for s, e in zip(cuts, [*cuts[1:], len(blocks)])
     ]
 
 
+def _pair_rows(a: np.ndarray, b: np.ndarray) -> list[dict]:
+    """Pairs of nodes, each once, keyed by the node with fewer pairs here, of two alike by the larger.
+
+    One document against many is so asked for by each of them, and does not ask for them all.
+    """
+    lo, hi = np.minimum(a, b), np.maximum(a, b)
+    pairs = np.unique(np.stack([hi, lo], axis=1)[hi != lo], axis=0)
+    _, place, times = np.unique(pairs, return_inverse=True, return_counts=True)
+    times = times[place.reshape(-1)].reshape(-1, 2)
+    turned = times[:, 0] > times[:, 1]
+    return _keyed_rows(np.where(turned, pairs[:, 1], pairs[:, 0]), np.where(turned, pairs[:, 0], pairs[:, 1]))
+
+
 def _read_shard(table: pa.Table):
     grams = np.concatenate([np.frombuffer(g, dtype=np.uint64) for g in table.column("grams").to_pylist()])
     rest = np.concatenate([np.frombuffer(r, dtype=np.int64) for r in table.column("rest").to_pylist()]).reshape(-1, 2)
@@ -237,10 +249,12 @@ def _candidates(percent: int, few: int):
         # The document in the middle by size meets most others' length filter.
         order = np.lexsort((node[members], n[members], owner))
         start = np.cumsum(np.r_[0, sizes[large]])[:-1]
-        pivot = members[order][start + sizes[large] // 2] if len(large) else members
-        i, j = np.r_[i, pivot[owner]], np.r_[j, members]
-        ok = _possible(n[i], pos[i], n[j], pos[j], percent) & (node[i] != node[j])
-        rows = _pair_rows(node[i[ok]], node[j[ok]])
+        pivot = (members[order][start + sizes[large] // 2] if len(large) else members)[owner]
+        ok = _possible(n[i], pos[i], n[j], pos[j], percent)
+        i, j = np.maximum(node[i[ok]], node[j[ok]]), np.minimum(node[i[ok]], node[j[ok]])
+        ok = _possible(n[pivot], pos[pivot], n[members], pos[members], percent)
+        # Each member asks for the one document: its block would else ask for the whole group.
+        rows = _keyed_rows(np.r_[i, node[members[ok]]], np.r_[j, node[pivot[ok]]])
         rest = np.stack([node[members], (n[members] << 32) + pos[members]], axis=1)
         if len(large):
             rows.append({"block": None, "grams": grams[members].tobytes(), "rest": rest.tobytes(), "groups": len(large)})
@@ -249,23 +263,53 @@ def _candidates(percent: int, few: int):
     return run
 
 
+_ASKED_DDL = "block long, mine binary, other binary, asker long, wanted long"
+
+
 def _request(pairs_table: pa.Table) -> pa.Table:
-    """One block's candidate pairs, each once; and the texts it wants from other blocks."""
-    schema = pa.schema([*_PAIRS, ("asker", pa.int64())])
+    """One block's candidate pairs, each once, to the blocks that have the other documents."""
+    schema = pa.schema([*_PAIRS, ("asker", pa.int64()), ("wanted", pa.int64())])
     block = pairs_table.column("block")[0].as_py()
     mine = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in pairs_table.column("mine").to_pylist()])
     other = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in pairs_table.column("other").to_pylist()])
-    pairs = np.unique(np.stack([mine, other], axis=1), axis=0)
-    rows = [{"block": block, "mine": pairs[:, 0].tobytes(), "other": pairs[:, 1].tobytes(), "asker": None}]
-    wanted = np.unique(pairs[:, 1])
-    homes = wanted >> _DOC_BITS
-    for home in np.unique(homes):
-        rows.append({"block": int(home), "other": wanted[homes == home].tobytes(), "asker": block})
+    pairs = np.unique(np.stack([other, mine], axis=1), axis=0)
+    other, mine = pairs[:, 0], pairs[:, 1]
+    homes = other >> _DOC_BITS
+    cuts = np.flatnonzero(np.r_[True, homes[1:] != homes[:-1]])
+    rows = [
+        {
+            "block": int(homes[s]),
+            "mine": mine[s:e].tobytes(),
+            "other": other[s:e].tobytes(),
+            "asker": block,
+            "wanted": len(np.unique(other[s:e])),
+        }
+        for s, e in zip(cuts, [*cuts[1:], len(homes)])
+    ]
     return pa.Table.from_pylist(rows, schema=schema)
 
 
-_TEXTS = pa.schema([("block", pa.int64()), ("mine", pa.binary()), ("other", pa.binary()), ("lengths", pa.binary()), ("texts", pa.binary())])
-_TEXTS_DDL = "block long, mine binary, other binary, lengths binary, texts binary"
+def _text_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes of a block's longest document and of all its documents."""
+    for batch in batches:
+        lengths = [np.frombuffer(x, dtype=np.int64) for x in batch.column("lengths").to_pylist()]
+        sizes = [pa.array([int(f(x)) if len(x) else 0 for x in lengths], pa.int64()) for f in (np.max, np.sum)]
+        yield pa.RecordBatch.from_arrays([batch.column("block"), *sizes], names=["block", "longest", "total"])
+
+
+_TEXTS = pa.schema(
+    [
+        ("block", pa.int64()),
+        ("home", pa.int64()),
+        ("size", pa.int64()),
+        ("mine", pa.binary()),
+        ("other", pa.binary()),
+        ("ids", pa.binary()),
+        ("lengths", pa.binary()),
+        ("texts", pa.binary()),
+    ]
+)
+_TEXTS_DDL = "block long, home long, size long, mine binary, other binary, ids binary, lengths binary, texts binary"
 
 
 def _send_texts(block: pa.Table, asked: pa.Table) -> pa.Table:
@@ -273,13 +317,29 @@ def _send_texts(block: pa.Table, asked: pa.Table) -> pa.Table:
     if block.num_rows and asked.num_rows:
         docs = store.Block(block.to_pylist()[0])
         for r in asked.to_pylist():
-            nodes = np.frombuffer(r["other"], dtype=np.int64)
+            nodes = np.unique(np.frombuffer(r["other"], dtype=np.int64))
             texts = [docs.text(int(i)) for i in np.searchsorted(docs.ids, nodes & _PLACE)]
-            packed = store.block_row(0, nodes, nodes < 0, np.array([len(t) for t in texts]), b"".join(texts))
-            rows.append({"block": r["asker"], "other": packed["ids"], "lengths": packed["lengths"], "texts": packed["texts"]})
+            lengths = np.array([len(t) for t in texts])
+            packed = store.block_row(0, nodes, nodes < 0, lengths, b"".join(texts))
+            sent = {k: packed[k] for k in ("ids", "lengths", "texts")}
+            rows.append({"block": r["asker"], "home": docs.number, "size": int(lengths.sum()) + 2 * len(r["mine"]), "mine": r["mine"], "other": r["other"], **sent})
     return pa.Table.from_pylist(rows, schema=_TEXTS)
 
 
+def _in_parts(rows: DataFrame, size: str, by: str, bound: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``part``, so that a (block, part) has about ``bound`` bytes; and the parts of each block."""
+    parts = store.materialise(
+        rows.groupBy("block").agg(F.greatest(F.lit(1), F.ceil(F.sum(size) / bound)).cast("int").alias("parts")), name
+    )
+    dealt = rows.join(parts, "block").withColumn("part", F.pmod(F.xxhash64(by), F.col("parts")).cast("int")).drop("parts")
+    return dealt, parts
+
+
+def _copies(blocks: DataFrame, parts: DataFrame) -> DataFrame:
+    """A block once for each of its parts; blocks without one are left out."""
+    return blocks.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+
 def _suffix_bound(a: np.ndarray, b: np.ndarray) -> int:
     """Upper bound of an intersection: both sets cut at the same hashes, the smaller part of each cut."""
     cuts = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
@@ -295,20 +355,14 @@ def _verify(size: int, percent: int):
         links = []
         if block.num_rows and inbox.num_rows:
             docs, own = _block_sets(block.to_pylist()[0], size)
-            rows = inbox.to_pylist()
-            pairs = next(r for r in rows if r["mine"] is not None)
-            mine = np.frombuffer(pairs["mine"], dtype=np.int64)
-            other = np.frombuffer(pairs["other"], dtype=np.int64)
-            here = np.searchsorted(docs.ids, mine & _PLACE)
-            for r in rows:
-                if r["mine"] is not None:
-                    continue
-                sent = store.Block({"block": 0, "ids": r["other"], "missing": b"", "lengths": r["lengths"], "texts": r["texts"]})
+            for r in inbox.to_pylist():
+                mine = np.frombuffer(r["mine"], dtype=np.int64)
+                other = np.frombuffer(r["other"], dtype=np.int64)
+                here = np.searchsorted(docs.ids, mine & _PLACE)
+                sent = store.Block({"block": 0, "ids": r["ids"], "missing": b"", "lengths": r["lengths"], "texts": r["texts"]})
                 sets = _Sets(sent.raw, sent.bounds, size)
-                lo = np.searchsorted(sent.ids, other)
-                lo[lo == len(sent.ids)] = 0
-                for k in np.flatnonzero(sent.ids[lo] == other):
-                    a, b = own.of(here[k]), sets.of(lo[k])
+                for k, there in enumerate(np.searchsorted(sent.ids, other)):
+                    a, b = own.of(here[k]), sets.of(there)
                     least = _least_overlap(len(a) + len(b), percent)
                     if min(len(a), len(b)) < least or _suffix_bound(a, b) < least:
                         continue
@@ -322,20 +376,26 @@ def _verify(size: int, percent: int):
     return run
 
 
-def _verified(blocks: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Candidate pairs (rows of arrays per block) to links (a, b)."""
-    asked = store.materialise(pairs.groupBy("block").applyInArrow(_request, _PAIRS_DDL + ", asker long"), "join-requests")
-    texts = (
-        blocks.groupBy("block")
-        .cogroup(asked.filter("asker is not null").groupBy("block"))
-        .applyInArrow(_send_texts, _TEXTS_DDL)
-    )
-    own = asked.filter("asker is null").select(
-        "block", "mine", "other", F.lit(None).cast("binary").alias("lengths"), F.lit(None).cast("binary").alias("texts")
+def _verified(blocks: DataFrame, pairs: DataFrame, size: int, percent: int, bound: int) -> DataFrame:
+    """Candidate pairs (rows of arrays per block) to links (a, b); a task gets texts of about ``bound`` bytes at once."""
+    asked = store.materialise(pairs.groupBy("block").applyInArrow(_request, _ASKED_DDL), "join-requests")
+    sizes = blocks.select("block", "lengths").mapInArrow(_text_sizes, "block long, longest long, total long")
+    most = F.least(F.col("wanted") * F.col("longest"), F.col("total")) + 2 * F.octet_length("mine")
+    asked = asked.join(sizes, "block").withColumn("most", most).drop("longest", "total")
+    asked, parts = _in_parts(asked, "most", "asker", bound, "join-asked-parts")
+    inbox = store.materialise(
+        _copies(blocks, parts)
+        .groupBy("block", "part")
+        .cogroup(asked.groupBy("block", "part"))
+        .applyInArrow(_send_texts, _TEXTS_DDL),
+        "join-texts",
     )
-    inbox = store.materialise(texts.unionAll(own), "join-texts")
+    inbox, parts = _in_parts(inbox, "size", "home", bound, "join-inbox-parts")
     return store.materialise(
-        blocks.groupBy("block").cogroup(inbox.groupBy("block")).applyInArrow(_verify(size, percent), "a long, b long"),
+        _copies(blocks, parts)
+        .groupBy("block", "part")
+        .cogroup(inbox.groupBy("block", "part"))
+        .applyInArrow(_verify(size, percent), "a long, b long"),
         "join-links",
     )
 
@@ -380,6 +440,7 @@ def similar_groups(
     block_bytes: int = 2 << 20,
     sketch_bits: int = 20,
     few: int = 8,
+    inbox_bytes: int = 32 << 20,
 ) -> DataFrame:
     """Per document: ``id_column``, ``n_shingles`` (its set's size) and ``component_id``.
 
@@ -391,7 +452,7 @@ def similar_groups(
     with their copies. A null id stays null and is never a component id unless no member
     has another. Other columns are not read; an empty table gives no rows.
 
-    ``few`` and ``sketch_bits`` change the plan only, not the result.
+    ``few``, ``sketch_bits`` and ``inbox_bytes`` change the plan only, not the result.
     """
     spark = docs.sparkSession
     lowered = docs.select(F.col(id_column).cast("long").alias("key"), F.col(text_column).alias("text"))
@@ -419,7 +480,7 @@ def similar_groups(
         .applyInArrow(_candidates(percent, few), _PAIRS_DDL + ", grams binary, rest binary, groups int"),
         "join-candidates",
     )
-    links = _verified(single, found.filter("block is not null").select("block", "mine", "other"), shingle, percent)
+    links = _verified(single, found.filter("block is not null").select("block", "mine", "other"), shingle, percent, inbox_bytes)
     shared = found.filter("block is null").select("grams", "rest").mapInArrow(_unpack_members, "gram long, node long, n long, pos long")
     roots = store.materialise(components(links), "join-roots")
     # Large groups whose documents are not all connected yet.
@@ -429,7 +490,7 @@ def similar_groups(
         labelled.join(open_groups, "gram").groupBy("gram").applyInArrow(_across(percent), _PAIRS_DDL), "join-across"
     )
     if not more.isEmpty():
-        links = links.unionAll(_verified(single, more, shingle, percent))
+        links = links.unionAll(_verified(single, more, shingle, percent, inbox_bytes))
         roots = store.materialise(components(links), "join-roots")
     node = F.shiftleft("block", _DOC_BITS) + F.col("place")
     rooted = classes.select("sig_a", "sig_b", "least", node.alias("node")).join(roots, "node", "left")
