@@ -3,14 +3,16 @@
 A page is cut into blocks at its block-level tags. The first pass decides the clear ones:
 what stands in navigation, adverts, forms and the like is out; so is what is mostly links;
 long blocks with many stop words are in, and so are blocks of the element that the page
-itself marks as its article. In the second pass the blocks that are short, or fair but not
-clear, take the label of the nearest decided neighbours.
+itself marks as its article. A form, or a class or id that hints at such a part, does not
+put out what holds the article or most of the text. In the second pass the blocks that are
+short, or fair but not clear, take the label of the nearest decided neighbours.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,9 +48,12 @@ _BOILERPLATE = re.compile(
     r"|popup|modal|overlay|widgets?|pagination|pager|login|search|skip-?link|tags?|author-?box|outbrain|taboola)(?:$|[\s_-])",
     re.I,
 )
-_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
+# Names of states and topics, which say nothing of what their element is.
+_STATES = re.compile(r"(?:has|no|not|with|without|is|category|tag(?![_-](?:cloud|list|links?)))[_-]", re.I)
+_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar".split())
 _RAW = frozenset("script style textarea title xmp noscript template svg math iframe object canvas select option datalist".split())
-_OUT = frozenset("nav footer aside form button menu dialog fieldset label input head audio video applet".split())
+_FORMS = frozenset(("form", "fieldset"))
+_OUT = frozenset("nav footer aside button menu dialog label input head audio video applet".split())
 _MAIN = frozenset(("article", "main"))
 _BLOCK = frozenset(
     """address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer
@@ -78,6 +83,8 @@ class Block:
     main: bool
     heading: bool
     place: int  # number of the element that holds the block
+    hints: tuple[int, ...] = ()  # numbers of the elements around it that hint at no content
+    mains: tuple[tuple[int, str], ...] = ()  # numbers and tags of the articles around it
     label: str = ""
 
 
@@ -90,11 +97,56 @@ def _marked_out(tag: str, attrs: str) -> bool:
         value, name = value.strip("\"'"), name.lower()
         if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name == "role" and value.lower() in _ROLES or name in ("class", "id") and _BOILERPLATE.search(value):
+        if name == "role" and value.lower() in _ROLES:
             return True
     return False
 
 
+def _hinted_out(tag: str, attrs: str) -> bool:
+    """Whether a form, or a name in a class or id, hints that the element is no content."""
+    if tag in _FORMS:
+        return True
+    if not attrs or tag in ("html", "body", "article", "main"):
+        return False
+    for name, value in _HINTS.findall(attrs):
+        value, name = value.strip("\"'"), name.lower()
+        if name == "role" and value.lower() == "form":
+            return True
+        if name in ("class", "id") and any(_BOILERPLATE.search(x) and not _STATES.match(x) for x in value.split()):
+            return True
+    return False
+
+
+def _follow_hints(found: list[Block]) -> None:
+    """Put out what stands in hinted elements, but for those that hold the article or most of the text.
+
+    The article is the one in the fewest hinted elements, of these an ``article`` before a
+    ``main``, then the longest. A hinted element inside it must not hold most of its text;
+    without any article none may hold most of the page's. Links do not count as text.
+    """
+    size: Counter[int] = Counter()
+    around: dict[tuple[int, str], tuple[int, ...]] = {}
+    total = 0
+    for b in found:
+        n = 0 if b.out else len(b.text) - b.linked
+        if n <= 0:
+            continue
+        total += n
+        size.update(dict.fromkeys([*b.hints, *(number for number, _ in b.mains)], n))
+        for m in b.mains:
+            if m not in around:
+                around[m] = tuple(h for h in b.hints if h < m[0])  # numbers grow inwards
+    article = min(around, key=lambda m: (len(around[m]), m[1] != "article", -size[m[0]]), default=None)
+    hints = {h for b in found for h in b.hints}
+    if article is None:
+        wrong = {h for h in hints if 2 * size[h] > total}
+    else:
+        inside = {h for b in found if article in b.mains for h in b.hints if h > article[0]}
+        wrong = {*around[article], *(h for h in inside if 2 * size[h] > size[article[0]])}
+    for b in found:
+        b.out = b.out or any(h not in wrong for h in b.hints)
+
+
 def _raw_end(page: str, tag: str, start: int) -> int:
     found = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, start)
     return found.end() if found else len(page)
@@ -103,7 +155,8 @@ def _raw_end(page: str, tag: str, start: int) -> int:
 def blocks(page: str) -> list[Block]:
     """Blocks of a page in order, with how much of each is linked and where it stands."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # open elements, whether they are marked as no content, and their numbers
+    # Open elements, whether they are marked as no content, their numbers, and whether they hint at no content.
+    stack: list[tuple[str, bool, int, bool]] = []
     parts: list[str] = []
     linked = breaks = 0
     heading = False
@@ -112,9 +165,11 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked, parts, breaks
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            place = next((n for t, _, n in reversed(stack) if t not in ("p", "a") and t not in _HEADINGS), 0)
-            is_out = any(x for _, x, _ in stack)
-            out.append(Block(text, min(linked, len(text)), is_out, any(t in _MAIN for t, _, _ in stack), heading, place))
+            place = next((n for t, _, n, _ in reversed(stack) if t not in ("p", "a") and t not in _HEADINGS), 0)
+            is_out = any(x for _, x, _, _ in stack)
+            hints = tuple(n for _, _, n, h in stack if h)
+            mains = tuple((n, t) for t, _, n, _ in stack if t in _MAIN)
+            out.append(Block(text, min(linked, len(text)), is_out, bool(mains), heading, place, hints=hints, mains=mains))
         parts, linked, breaks = [], 0, 0
 
     def add(piece: str) -> None:
@@ -123,7 +178,7 @@ def blocks(page: str) -> list[Block]:
             parts.append(piece)
             if piece.strip():
                 breaks = 0
-                if any(t == "a" for t, _, _ in stack):
+                if any(t == "a" for t, _, _, _ in stack):
                     linked += len(" ".join(html.unescape(piece).split()))
 
     at = 0
@@ -154,7 +209,7 @@ def blocks(page: str) -> list[Block]:
             if stack and stack[-1][0] == "p":  # a paragraph ends where another block begins or ends
                 stack.pop()
         if token["end"]:
-            if any(t == tag for t, _, _ in stack):
+            if any(t == tag for t, _, _, _ in stack):
                 while stack.pop()[0] != tag:
                     pass
             heading = heading and tag not in _HEADINGS
@@ -166,16 +221,19 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in _MAIN:
             # What was never closed before the article does not swallow it.
-            stack = [(t, x and re.search(f"</{t}", page[at:], re.I) is not None, n) for t, x, n in stack]
+            closed = {t: re.search(f"</{t}", page[at:], re.I) is not None for t, x, _, h in stack if x or h}
+            stack = [(t, x and closed[t], n, h and closed[t]) for t, x, n, h in stack]
         if tag in _HEADINGS:
             heading = True
-        if tag in _BLOCK and tag not in ("hr", "html", "body") or tag == "a" or tag in _OUT or _marked_out(tag, token["attrs"]):
+        marked, hinted = _marked_out(tag, token["attrs"]), _hinted_out(tag, token["attrs"])
+        if tag in _BLOCK and tag not in ("hr", "html", "body") or tag == "a" or marked or hinted:
             if tag in ("li", "td", "th", "tr", "dd", "dt") and stack and stack[-1][0] == tag:
                 stack.pop()
-            inside_main = any(t in _MAIN for t, _, _ in stack)
+            inside_main = any(t in _MAIN for t, _, _, _ in stack)
             page_header = tag == "header" and not inside_main
-            stack.append((tag, page_header or _marked_out(tag, token["attrs"]), at))
+            stack.append((tag, page_header or marked, at, hinted))
     close()
+    _follow_hints(out)
     return out
 
 

@@ -2,9 +2,11 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from plantweave.llm import jaccard
+from plantweave.llm.extraction import main_text
 from tests.llm.test_operators import chain_of_copies, groups_by_hand, ordered, texts
 
 
@@ -38,3 +40,29 @@ def test_groups_in_bounded_inboxes(spark, odd_docs, docs):
     both = odd_docs.select("doc_id", "text").unionAll(docs.select(F.col("doc_id") + 100, "text")).unionAll(chain)
     got = jaccard.similar_groups(both, block_bytes=50_000, few=2, sketch_bits=10, inbox_bytes=2_000).collect()
     assert ordered(tuple(r) for r in got) == groups_by_hand(texts(both))
+
+
+PROSE = ("It was the best of times, it was the worst of times, it was the age of wisdom and the age of foolishness for all. " * 3).strip()
+SIDE = "This is the text of a part at the side that is not of the page and that no one has to read at all."
+WRAPPERS = [
+    '<div class="site has-sidebar">', '<div class="content no-sidebar">', '<div class="page sticky-header">',
+    '<div class="post type-post hentry tag-news">', '<div id="page" class="nav-open"><div class="wrap with-menu">', '<form id="aspnetForm">',
+]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_hints_do_not_put_out_a_whole_page(wrapper, inner):
+    ends = "</div></div>" if wrapper.count("<div") == 2 else "</form>" if "form" in wrapper else "</div>"
+    page = f"{wrapper}<div class=sidebar><p>{SIDE}</p></div><{inner}><p>{PROSE}</p><p>{PROSE}</p></{inner}>{ends}"
+    assert main_text(page) == f"{PROSE}\n{PROSE}"
+
+
+def test_hints_inside_and_beside_the_article_still_count():
+    comments = f'<div id="comments"><article class="comment"><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p></article></div>'
+    for page in (f"<article><p>{PROSE}</p></article>{comments}", f"<main><article><p>{PROSE}</p></article>{comments}</main>"):
+        assert main_text(page) == PROSE
+        assert main_text(f'<div class="page sticky-header">{page}</div>') == PROSE
+    assert main_text(f'<main><p>{PROSE}</p><div class="newsletter"><p>{SIDE}</p></div></main>') == PROSE
+    assert main_text(f'<main><div class="page sticky-header"><p>{PROSE}</p></div></main>') == PROSE
+    assert main_text(f"<article><p>{PROSE}</p><form><p>{SIDE}</p></form></article>") == PROSE
