@@ -45,6 +45,7 @@ def _parts(text: Column, kind: str, pattern: str, loose: bool) -> Column:
     if loose:
         try_it = F.contains(text, F.lit("@")) | text.rlike(r"[(\[]at[)\]]") if kind == "email" else text.rlike("[0-9]{3}")
         try_it = text.rlike(r"[0-9] ?\. ?[0-9]") if kind == "ip" else try_it
+        try_it = text.rlike(r"[0-9][\x20()./0-9-]{6,20}[0-9]") if kind == "phone" else try_it
     else:
         try_it = F.contains(text, F.lit(_HOLDS[kind])) if kind in _HOLDS else text.rlike(_LOOKS[kind])
     found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))

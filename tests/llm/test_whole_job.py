@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from plantweave.llm import jaccard
+from plantweave.llm import jaccard, pii
 from plantweave.llm.extraction import main_text
 from tests.llm.test_operators import chain_of_copies, groups_by_hand, ordered, texts
 
@@ -66,3 +66,11 @@ def test_hints_inside_and_beside_the_article_still_count():
     assert main_text(f'<main><p>{PROSE}</p><div class="newsletter"><p>{SIDE}</p></div></main>') == PROSE
     assert main_text(f'<main><div class="page sticky-header"><p>{PROSE}</p></div></main>') == PROSE
     assert main_text(f"<article><p>{PROSE}</p><form><p>{SIDE}</p></form></article>") == PROSE
+
+
+@pytest.mark.parametrize("number", ["06 12 34 56 78", "+33/6/12/34/56/78", "1-2-3-4-5"])
+def test_numbers_in_short_groups_are_candidates_of_any_text(spark, number):
+    docs = spark.createDataFrame([(f"call {number} now",), (f"call {number} now, room 123",)], "text string")
+    for row in pii.candidates(pii.base_spans(docs)).collect():
+        found = [row["text"][s["start"] : s["end"]] for s in row["loose"] if s["kind"] == "phone"]
+        assert number in found
