@@ -56,11 +56,10 @@ class Encoder:
     The ids are those of the library ``tokenizers`` with the file. Texts of Latin letters
     only go through ``tiktoken`` over the same file's vocabulary, which merges alike and is
     several times as fast; other scripts, where the two libraries' tables of letters may
-    differ in age, and texts with huge runs of blanks go through ``tokenizers`` itself.
+    differ in age, texts with huge runs of blanks and texts that hold the string of one of
+    the file's added tokens go through ``tokenizers`` itself.
     """
 
-    _PART = re.compile(r" (?=\S)")
-    _BLANKS = re.compile(r" (?:\s|\Z)")
     _OTHER = re.compile("[^\x00-\u024f\u2010-\u2027\u20ac]")
 
     def __init__(self, path: str, remembered: int = 400_000):
@@ -69,7 +68,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = added and re.compile("|".join(map(re.escape, added)))
+        # An added token ends a run of blanks before it. A text is never cut within such a run,
+        # so no cut after a blank where one could begin, now or after an edit.
+        firsts = "".join(sorted({re.escape(t[0]) for t in added}))
+        self._part = re.compile(rf"(?<!\s) (?=\S)| (?=[^\s{firsts}])")
+        self._blanks = re.compile(rf" (?:\s|\Z)|\s [{firsts}]" if added else r" (?:\s|\Z)")
         ranks = _ranks(path)
         self.fast = ranks and tiktoken.Encoding("own", pat_str=_PIECES_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.remembered = remembered
@@ -77,12 +82,13 @@ class Encoder:
 
     def ids(self, text: str) -> bytes:
         huge = len(text) > 100_000 and re.search(r"\s{10000}", text)
-        if self.fast is None or huge or not text.isascii() and self._OTHER.search(text):
+        special = self.added and self.added.search(text)
+        if self.fast is None or huge or special or not text.isascii() and self._OTHER.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
     def parts(self, text: str) -> list[str]:
-        return self._PART.split(text) if self._BLANKS.search(text) else text.split(" ")
+        return self._part.split(text) if self._blanks.search(text) else text.split(" ")
 
     def counts(self, head: str, rest: list[str]) -> list[int]:
         """Tokens of a text's first part and of each further part with its blank.

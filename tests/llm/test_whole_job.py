@@ -1,13 +1,18 @@
 """Cases in which an operator once did less than the whole job."""
 
+import random
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from plantweave.llm import jaccard, pii
+from plantweave.llm.counting import TokenTree
 from plantweave.llm.extraction import main_text
-from tests.llm.test_operators import chain_of_copies, groups_by_hand, ordered, texts
+from plantweave.llm.packing import Encoder
+from tests.llm.test_operators import PATH, chain_of_copies, groups_by_hand, ordered, texts
 
 
 def shard_of_one_group(nodes):
@@ -74,3 +79,27 @@ def test_numbers_in_short_groups_are_candidates_of_any_text(spark, number):
     for row in pii.candidates(pii.base_spans(docs)).collect():
         found = [row["text"][s["start"] : s["end"]] for s in row["loose"] if s["kind"] == "phone"]
         assert number in found
+
+
+def test_ids_are_those_of_the_untouched_file():
+    plain, own = Tokenizer.from_file(PATH), Encoder(PATH)
+    for text in ("<|endoftext|>", "a <|endoftext|> b", "é  <|endoftext|>\n x", "日 <|endoftext|>", "<|endoftext", "plain text"):
+        want = plain.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own.ids(text), dtype="<u4").tolist() == want
+        assert (50256 in want) == ("<|endoftext|>" in text)
+
+
+def test_counts_under_edits_of_added_tokens():
+    plain, own, rng = Tokenizer.from_file(PATH), Encoder(PATH), random.Random(5)
+    pieces = ["<|endoftext|>", "<|endoftext|", ">", "<", " ", "  ", "\n", "\n ", "a", " word", "|"]
+    for _ in range(60):
+        text = "".join(rng.choices(pieces, k=12))
+        tree = TokenTree(own, text)
+        assert tree.tokens == len(plain.encode(text, add_special_tokens=False).ids), repr(text)
+        for _ in range(25):
+            start = rng.randint(0, len(text))
+            end = min(len(text), start + rng.randint(0, 4))
+            new = "".join(rng.choices(pieces, k=rng.randint(0, 2)))
+            tree.edit(start, end, new)
+            text = text[:start] + new + text[end:]
+            assert tree.text() == text and tree.tokens == len(plain.encode(text, add_special_tokens=False).ids), repr(text)
