@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plantweave.llm import language, pii, toxicity
+from plantweave.llm.conversations import repair_conversations
 from plantweave.llm.counting import count_edited
 from plantweave.llm.decontamination import find_contamination
 from plantweave.llm.extraction import extract_text
 from plantweave.llm.jaccard import similar_groups
+from plantweave.llm.mixing import mix_sources
 from plantweave.llm.packing import pack_pieces, token_pieces
 from plantweave.llm.phrases import remove_repeated_passages
+from plantweave.llm.resampling import resample
 from plantweave.llm.topk import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -201,6 +204,144 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"),
     )
 
+def _crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a string's UTF-8 bytes; its table follows from the polynomial."""
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    table = f"list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: {step}))"
+    hexed = f"hex(encode({text}))"
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr({hexed}, 2 * i + 1, 2))::BIGINT)"
+    read = "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])"
+    return f"(SELECT xor(list_reduce(list_prepend(4294967295, {octets}), {read}), 4294967295) FROM (SELECT {table} AS t))"
+
+
+_BLANKS = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query(
+    "op11_conversation_repair",
+    rf"""
+    WITH RECURSIVE raw AS (
+      SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations),
+    dam AS (
+      SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+        unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+      FROM raw WHERE kind <> 0),
+    num AS (
+      SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i,
+        rtrim(text, {_BLANKS}) AS bare FROM dam),
+    seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM num),
+    fault AS (
+      SELECT *, bare = '' AS blank, bare <> '' AND again AS dup, bare <> '' AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') AS cut,
+        left(role, 1) AS x, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS y FROM seen),
+    counts AS (
+      SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank,
+        count(*) FILTER (dup) AS duplicate, count(*) FILTER (cut) AS truncated,
+        count(*) FILTER (y IS NOT NULL AND y || x NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM fault GROUP BY conv_id),
+    -- What may precede a role: (state, role, inserted roles, next state); states are the last role or 'e'.
+    rule(state, role, ins, nxt) AS (VALUES
+      ('e', 's', [], 's'), ('e', 'u', [], 'u'), ('e', 'a', ['user'], 'a'), ('s', 'u', [], 'u'), ('s', 'a', ['user'], 'a'),
+      ('u', 'u', ['assistant'], 'u'), ('u', 'a', [], 'a'), ('a', 'u', [], 'u'), ('a', 'a', ['user'], 'a')),
+    stay AS (
+      SELECT f.conv_id, f.i, r.state, r.nxt, 3 * len(r.ins) + CASE WHEN r.role = f.x THEN 0 ELSE 3 END + CASE WHEN cut THEN 3 ELSE 0 END AS cost,
+        repeat('I', len(r.ins)) || CASE WHEN r.role = f.x THEN 'K' ELSE 'R' END AS letters,
+        list_append(list_transform(r.ins, lambda z: z || ':'),
+          CASE WHEN r.role = f.x THEN f.role WHEN r.role = 'u' THEN 'user' ELSE 'assistant' END || ':' || f.text) AS made
+      FROM fault f JOIN rule r ON r.role = f.x OR r.role <> 's' WHERE NOT f.blank AND NOT f.dup),
+    gone AS (SELECT conv_id, i, s.state, s.state AS nxt, 4 AS cost, 'D' AS letters, []::VARCHAR[] AS made
+      FROM fault, (VALUES ('e'), ('s'), ('u'), ('a')) s(state)),
+    move AS (SELECT * FROM stay UNION ALL SELECT * FROM gone),
+    walk AS (
+      SELECT conv_id, 0::BIGINT AS i, 'e' AS state, {{'cost': 0, 'audit': '', 'made': []::VARCHAR[]}} AS best FROM counts
+      UNION ALL
+      SELECT w.conv_id, w.i + 1, m.nxt,
+        min({{'cost': w.best.cost + m.cost, 'audit': w.best.audit || m.letters, 'made': list_concat(w.best.made, m.made)}})
+      FROM walk w JOIN move m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.i = w.i + 1 AND m.state = w.state
+      GROUP BY w.conv_id, w.i, m.nxt),
+    last AS (
+      SELECT w.conv_id, min({{'cost': best.cost + 3 * len(t), 'audit': best.audit || repeat('I', len(t)), 'made': list_concat(best.made, t)}}) AS b
+      FROM (SELECT *, CASE state WHEN 's' THEN ['user:', 'assistant:'] WHEN 'u' THEN ['assistant:'] ELSE []::VARCHAR[] END AS t FROM walk) w
+      JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.i GROUP BY w.conv_id)
+    SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+      coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.cost, 0)::BIGINT AS cost, coalesce(b.audit, '') AS audit,
+      sha256(coalesce(array_to_string(b.made, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+    LEFT JOIN last l ON l.conv_id IS NOT DISTINCT FROM o.conv_id
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(_table(spark, sf_dir, "conversations"))
+
+
+@query(
+    "op12_source_mixture",
+    r"""
+    WITH RECURSIVE d AS (
+      SELECT doc_id, source, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS k,
+        coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+    s AS (
+      SELECT source, sum(size)::HUGEINT AS source_size, ([5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::HUGEINT AS w
+      FROM d GROUP BY source),
+    -- Rounds: the words left to share and the weights that share them; a source above three times its size leaves.
+    round AS (
+      SELECT 0 AS n, (SELECT sum(source_size) FROM s) AS rest, (SELECT sum(w) FROM s) AS weights
+      UNION ALL
+      SELECT * FROM (
+        SELECT r.n + 1 AS n, (SELECT sum(source_size) FROM s) - sum(CASE WHEN s.w * r.rest > 3 * s.source_size * r.weights THEN 3 * s.source_size ELSE 0 END) AS rest,
+          sum(CASE WHEN s.w * r.rest > 3 * s.source_size * r.weights THEN 0 ELSE s.w END) AS weights
+        FROM round r, s WHERE r.weights > 0 GROUP BY r.n, r.rest, r.weights
+        HAVING sum(CASE WHEN s.w * r.rest > 3 * s.source_size * r.weights THEN 0 ELSE s.w END) <> r.weights)),
+    level AS (SELECT rest, weights FROM round QUALIFY row_number() OVER (ORDER BY n DESC) = 1),
+    t AS (
+      SELECT source, source_size, CASE WHEN weights = 0 OR w * rest > 3 * source_size * weights THEN (3 * source_size)::DOUBLE
+        ELSE (w * rest)::DOUBLE / weights::DOUBLE END AS target FROM s, level),
+    p AS (
+      SELECT d.doc_id, size, source_size, target, floor(target)::HUGEINT AS words,
+        sum(size) OVER (PARTITION BY d.source ORDER BY k, size ROWS UNBOUNDED PRECEDING) - size AS place
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+    SELECT doc_id, size, source_size::BIGINT AS source_size, target,
+      CASE WHEN source_size = 0 THEN 0 ELSE size * (words // source_size) + greatest(0, least(size, words % source_size - place)) END::BIGINT AS taken
+    FROM p
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents")).drop("source")
+
+
+@query(
+    "op13_importance_resampling",
+    rf"""
+    WITH d AS (
+      SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents),
+    b AS (SELECT coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM benchmark),
+    dw AS (SELECT word, count(*) AS n FROM (SELECT unnest(ws) AS word FROM d) GROUP BY word),
+    bw AS (SELECT word, count(*) AS n FROM (SELECT unnest(ws) AS word FROM b) GROUP BY word),
+    words AS (SELECT word, {_crc32("word")} % 10000 AS bucket FROM (SELECT word FROM dw UNION SELECT word FROM bw)),
+    corpus AS (SELECT bucket, sum(n) AS n FROM dw JOIN words USING (word) GROUP BY bucket),
+    target AS (SELECT bucket, sum(n) AS n FROM bw JOIN words USING (word) GROUP BY bucket),
+    gain AS (
+      SELECT w.word, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (S + 10000)::DOUBLE / ((coalesce(c.n, 0) + 1)::DOUBLE * (T + 10000)::DOUBLE)))::BIGINT AS g
+      FROM words w LEFT JOIN corpus c USING (bucket) LEFT JOIN target t USING (bucket),
+        (SELECT coalesce(sum(n), 0) AS S FROM corpus), (SELECT coalesce(sum(n), 0) AS T FROM target)),
+    per AS (SELECT row, word, count(*) AS n FROM (SELECT row, unnest(ws) AS word FROM (SELECT row_number() OVER () AS row, * FROM d)) GROUP BY row, word),
+    total AS (SELECT row, sum(g * n) AS g FROM per JOIN gain USING (word) GROUP BY row),
+    scored AS (
+      SELECT doc_id, len(ws)::BIGINT AS n_features, CASE WHEN len(ws) = 0 THEN 0 ELSE
+          (coalesce(g, 0) - (((coalesce(g, 0) % len(ws)) + len(ws)) % len(ws))) // len(ws) END::BIGINT AS weight,
+        ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+      FROM (SELECT row_number() OVER () AS row, * FROM d) LEFT JOIN total USING (row)),
+    s AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM scored),
+    r AS (
+      SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (
+          PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) END AS place FROM s)
+    SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT 10 * count(*) // 100 FROM s WHERE n_features >= 20) THEN place END AS rank
+    FROM r
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
 
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
