@@ -10,8 +10,11 @@ rest are intersected in full.
 
 What must be right is which documents are connected. A shingle that a few documents share
 gives all their pairs. One that many share (a large group of near copies) gives pairs with
-one of them first; only where such a group falls into several components are the pairs
-between the components looked at in the next round, until no group does.
+one of them per class of sizes, the same for all shingles where it has them. Where such a
+group then falls into several components, rounds look at pairs between components only: each
+document with a few others of like size, with more of them, with all that are left. A round
+begins with the components that the one before has found, so no pair is looked at whose
+ends are connected already, and none is left out otherwise.
 """
 
 from __future__ import annotations
@@ -236,7 +239,7 @@ def _within(heads: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _candidates(percent: int, few: int):
-    """First round: all pairs of small groups; for large ones pairs with one document."""
+    """First round: all pairs of small groups; for large ones pairs with one document per class of sizes."""
     schema = pa.schema([*_PAIRS, ("grams", pa.binary()), ("rest", pa.binary()), ("groups", pa.int32())])
 
     def run(table: pa.Table) -> pa.Table:
@@ -246,10 +249,12 @@ def _candidates(percent: int, few: int):
         large = np.flatnonzero(sizes > few)
         members = np.concatenate([np.arange(heads[g], heads[g] + sizes[g]) for g in large]) if len(large) else np.zeros(0, np.int64)
         owner = np.repeat(np.arange(len(large)), sizes[large])
-        # The document in the middle by size meets most others' length filter.
-        order = np.lexsort((node[members], n[members], owner))
-        start = np.cumsum(np.r_[0, sizes[large]])[:-1]
-        pivot = (members[order][start + sizes[large] // 2] if len(large) else members)[owner]
+        # One document per class of sizes, by one order for all shingles, so a group has few such documents.
+        step = (np.log(np.maximum(n[members], 1)) / np.log(100 / min(percent, 99))).astype(np.int64)
+        order = np.lexsort((mix(node[members].astype(np.uint64)), step, owner))
+        members, owner, step = members[order], owner[order], step[order]
+        new = np.r_[True, (owner[1:] != owner[:-1]) | (step[1:] != step[:-1])][: len(members)]
+        pivot = members[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(members) else members
         ok = _possible(n[i], pos[i], n[j], pos[j], percent)
         i, j = np.maximum(node[i[ok]], node[j[ok]]), np.minimum(node[i[ok]], node[j[ok]])
         ok = _possible(n[pivot], pos[pivot], n[members], pos[members], percent)
@@ -348,11 +353,22 @@ def _suffix_bound(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(parts_a, parts_b).sum())
 
 
+class _Joined(dict):
+    """Nodes that are connected so far, each with a parent."""
+
+    def root(self, node: int) -> int:
+        while (up := self.get(node, node)) != node:
+            self[node] = self.get(up, up)
+            node = up
+        return node
+
+
 def _verify(size: int, percent: int):
+    """Links of a task's pairs that connect what its earlier links do not: at most one fewer than its documents."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(block: pa.Table, inbox: pa.Table) -> pa.Table:
-        links = []
+        links, joined = [], _Joined()
         if block.num_rows and inbox.num_rows:
             docs, own = _block_sets(block.to_pylist()[0], size)
             for r in inbox.to_pylist():
@@ -362,6 +378,9 @@ def _verify(size: int, percent: int):
                 sent = store.Block({"block": 0, "ids": r["ids"], "missing": b"", "lengths": r["lengths"], "texts": r["texts"]})
                 sets = _Sets(sent.raw, sent.bounds, size)
                 for k, there in enumerate(np.searchsorted(sent.ids, other)):
+                    x, y = joined.root(int(other[k])), joined.root(int(mine[k]))
+                    if x == y:
+                        continue
                     a, b = own.of(here[k]), sets.of(there)
                     least = _least_overlap(len(a) + len(b), percent)
                     if min(len(a), len(b)) < least or _suffix_bound(a, b) < least:
@@ -371,6 +390,7 @@ def _verify(size: int, percent: int):
                     both.sort(kind="stable")
                     if int((both[1:] == both[:-1]).sum()) >= least:
                         links.append({"a": int(other[k]), "b": int(mine[k])})
+                        joined[x] = y
         return pa.Table.from_pylist(links, schema=schema)
 
     return run
@@ -410,22 +430,51 @@ def _unpack_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], schema=schema)
 
 
-def _across(percent: int):
-    """Pairs of a group's documents that lie in different components, after the filters."""
+#: Distances in a large group's order by set size; each round forms pairs of one stretch of them.
+_ROUNDS = ((1, 9), (9, 65), (65, None))
+#: Pairs that are filtered at once.
+_PIECE = 1 << 18
+
+
+def _across(percent: int, near: int, far: int | None):
+    """Pairs of a group's documents that lie in different components, after the filters.
+
+    The group is ordered by set size; a pair's documents are at least ``near`` and less than ``far``
+    places apart. The order does not depend on the components, so each pair is formed in one round.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         node, root, n, pos = (np.asarray(table.column(c), dtype=np.int64) for c in ("node", "root", "n", "pos"))
-        order = np.lexsort((node, root))
+        order = np.lexsort((mix(node.astype(np.uint64)), n))
         node, root, n, pos = node[order], root[order], n[order], pos[order]
-        rows = []
-        cuts = np.flatnonzero(np.r_[True, root[1:] != root[:-1]])
-        ends = np.r_[cuts[1:], len(root)]
-        # Each component against all that follow it, in bounded pieces.
-        for s, e in zip(cuts[:-1], ends[:-1]):
-            for a in range(s, e, 256):
-                i, j = (x.ravel() for x in np.meshgrid(np.arange(a, min(a + 256, e)), np.arange(e, len(root)), indexing="ij"))
-                ok = _possible(n[i], pos[i], n[j], pos[j], percent)
-                rows += _pair_rows(node[i[ok]], node[j[ok]])
+        rows, place = [], np.arange(len(node))
+
+        def add(i: np.ndarray, j: np.ndarray) -> None:
+            ok = root[i] != root[j]
+            i, j = i[ok], j[ok]
+            ok = _possible(n[i], pos[i], n[j], pos[j], percent)
+            rows.extend(_pair_rows(node[i[ok]], node[j[ok]]))
+
+        if far:
+            steps = range(near, min(far, len(node)))
+            if steps:
+                add(np.concatenate([place[:-d] for d in steps]), np.concatenate([place[d:] for d in steps]))
+        else:
+            # All but the largest component against all others, within reach of the length filter.
+            _, own, sizes = np.unique(root, return_inverse=True, return_counts=True)
+            inside, held, many = own == np.argmax(sizes), [], 0
+            for i in np.flatnonzero(~inside):
+                a, b = np.searchsorted(n, [-(-percent * n[i] // 100), 100 * n[i] // percent + 1])
+                j = place[a:b]
+                # Of two documents outside the largest component, the earlier one brings the pair.
+                j = j[(np.abs(j - i) >= near) & (inside[j] | (j > i))]
+                held.append((np.full(len(j), i), j))
+                many += len(j)
+                if many >= _PIECE:
+                    add(*map(np.concatenate, zip(*held)))
+                    held, many = [], 0
+            if held:
+                add(*map(np.concatenate, zip(*held)))
         return pa.Table.from_pylist(rows, schema=_PAIRS)
 
     return run
@@ -483,15 +532,17 @@ def similar_groups(
     links = _verified(single, found.filter("block is not null").select("block", "mine", "other"), shingle, percent, inbox_bytes)
     shared = found.filter("block is null").select("grams", "rest").mapInArrow(_unpack_members, "gram long, node long, n long, pos long")
     roots = store.materialise(components(links), "join-roots")
-    # Large groups whose documents are not all connected yet.
-    labelled = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_groups = labelled.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("gram")
-    more = store.materialise(
-        labelled.join(open_groups, "gram").groupBy("gram").applyInArrow(_across(percent), _PAIRS_DDL), "join-across"
-    )
-    if not more.isEmpty():
-        links = links.unionAll(_verified(single, more, shingle, percent, inbox_bytes))
-        roots = store.materialise(components(links), "join-roots")
+    # Large groups whose documents are not all connected yet. Each round forms pairs that are
+    # farther apart, of what is still unconnected, and adds its links to the roots known so far.
+    for near, far in _ROUNDS:
+        labelled = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_groups = labelled.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("gram")
+        labelled = store.materialise(labelled.join(open_groups, "gram"), "join-open")
+        more = store.materialise(labelled.groupBy("gram").applyInArrow(_across(percent, near, far), _PAIRS_DDL), "join-across")
+        if not more.isEmpty():
+            links = _verified(single, more, shingle, percent, inbox_bytes)
+            roots = store.materialise(components(roots.toDF("a", "b").unionAll(links)), "join-roots")
+        shared = labelled.drop("root")
     node = F.shiftleft("block", _DOC_BITS) + F.col("place")
     rooted = classes.select("sig_a", "sig_b", "least", node.alias("node")).join(roots, "node", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "node"))

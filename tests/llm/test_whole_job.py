@@ -103,3 +103,81 @@ def test_counts_under_edits_of_added_tokens():
             tree.edit(start, end, new)
             text = text[:start] + new + text[end:]
             assert tree.text() == text and tree.tokens == len(plain.encode(text, add_special_tokens=False).ids), repr(text)
+
+
+def drifting(copies: int, singles: int) -> list[tuple[int, str]]:
+    """Near copies that drift away from the first, and texts that share most words with them but link with none."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(copies):
+        base[rng.randrange(90)] = f"x{i}"
+        rows.append((i, " ".join(base if i % 4 else base[: 80 + i % 9])))
+    for i in range(singles):
+        rows.append((copies + i, " ".join([*(f"w{k}" for k in range(40)), *(f"s{i}_{k}" for k in range(30))])))
+    rng.shuffle(rows)
+    return rows
+
+
+def roots_by_brute_force(rows: list[tuple[int, str]], percent: int = 80) -> dict[int, int]:
+    sets = {}
+    for i, text in rows:
+        words = text.split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("percent", [80, 60])
+def test_drifting_copies_and_texts_that_do_not_link(spark, percent):
+    rows = drifting(160, 40)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.similar_groups(docs, percent=percent, block_bytes=8_000, few=3, sketch_bits=10).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == roots_by_brute_force(rows, percent)
+
+
+def test_pairs_of_a_large_group_grow_with_its_size():
+    """Near copies that share many shingles, each shingle held by other nine tenths of them."""
+
+    def pairs(n: int) -> int:
+        rng, found = np.random.default_rng(1), set()
+        for _ in range(60):
+            nodes = np.flatnonzero(rng.random(n) < 0.9)
+            for row in jaccard._candidates(80, 8)(shard_of_one_group(nodes)).to_pylist():
+                if row["block"] is not None:
+                    found |= set(zip(np.frombuffer(row["mine"], np.int64), np.frombuffer(row["other"], np.int64)))
+        return len(found)
+
+    few, many = pairs(200), pairs(1600)
+    assert many < 12 * few and many < 6 * 1600
+
+
+def test_rounds_across_components_form_each_pair_once_and_all_of_them():
+    n = 150
+    rng = np.random.default_rng(3)
+    table = pa.table({
+        "node": rng.permutation(n), "root": rng.integers(0, 6, n), "n": rng.integers(50, 70, n), "pos": np.zeros(n, dtype=np.int64),
+    })
+    own = {k: table.column(k).to_numpy() for k in ("node", "root", "n")}
+    want = set()
+    for i in range(n):
+        for j in range(i):
+            if own["root"][i] != own["root"][j] and 100 * min(own["n"][i], own["n"][j]) >= 80 * max(own["n"][i], own["n"][j]):
+                want.add(tuple(sorted((int(own["node"][i]), int(own["node"][j])))))
+    seen = []
+    for near, far in jaccard._ROUNDS:
+        for row in jaccard._across(80, near, far)(table).to_pylist():
+            pairs = zip(np.frombuffer(row["mine"], np.int64), np.frombuffer(row["other"], np.int64))
+            seen += [tuple(sorted(map(int, p))) for p in pairs]
+    assert len(seen) == len(set(seen)) and set(seen) == want
