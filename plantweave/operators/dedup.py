@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantweave.operators.ordered import lag_in_order
+from plantweave.operators.ordered import first_rows, lag_in_order
 from plantweave.operators.throttle import cooldown_times
 
 DAY_MS = 86_400_000
@@ -65,14 +65,17 @@ def changed_since(
     return with_changed(current, stored).filter("changed").drop("changed")
 
 
-def merge_hashes(published: DataFrame, changed: DataFrame, now_ms: Column) -> DataFrame:
+def merge_hashes(
+    published: DataFrame, changed: DataFrame, now_ms: Column, order: tuple[str, ...] = ()
+) -> DataFrame:
     """Upsert changed hashes; ``updated_at`` moves, ``created_at`` stays.
 
     A topic that several rows share gets one entry, of the latest of them, so the table
-    keeps one row per topic from batch to batch.
+    keeps one row per topic from batch to batch. ``order`` names the columns that say which of
+    two rows at one instant is the later; they must be those that choose the retained payload.
     """
-    new = changed.select("topic", F.col("hash").alias("_hash"), now_ms.alias("_now"))
-    new = new.groupBy("topic").agg(F.max(F.struct("_now", "_hash")).alias("_last")).select("topic", "_last._hash", "_last._now")
+    place = F.struct(now_ms.alias("_now"), *order, F.col("hash").alias("_hash"))
+    new = changed.groupBy("topic").agg(F.max(place).alias("_last")).select("topic", "_last._hash", "_last._now")
     merged = published.join(new, "topic", "full_outer")
     return merged.select(
         "topic",
@@ -91,7 +94,7 @@ def not_expired(published: DataFrame, as_of_ms: int | Column, ttl_ms: int = DAY_
 
 def cap_entries(published: DataFrame, max_entries: int) -> DataFrame:
     """Keep the newest entries by creation time; the cap is the feature."""
-    return published.orderBy(F.col("created_at").desc(), "topic").limit(max_entries)
+    return first_rows(published, "created_at", ["topic"], max_entries, descending=True)
 
 
 def tracked_count(published: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plantweave.functions import types
 from plantweave.functions.json import json_object, or_null, quoted, string_list
 from plantweave.operators.ordered import (
+    first_rows,
     lag_in_order,
     latest_per_key,
     number_globally,
@@ -52,12 +53,8 @@ def touch_aliases(aliases: DataFrame, accesses: DataFrame) -> DataFrame:
 
 def evict_aliases(aliases: DataFrame, max_entries: int) -> tuple[DataFrame, DataFrame]:
     """(kept, evicted): at the cap the least recently used tenth of the cap goes."""
-    full = aliases.agg(F.count(F.lit(1)) >= max_entries).scalar()
-    oldest = (
-        aliases.filter(full)
-        .orderBy("last_accessed", "alias")
-        .limit(max(1, max_entries // 10))
-    )
+    full = aliases.count() >= max_entries
+    oldest = first_rows(aliases, "last_accessed", ["alias"], max(1, max_entries // 10) if full else 0)
     return aliases.join(oldest.select("metric_path"), "metric_path", "left_anti"), oldest
 
 
@@ -323,17 +320,17 @@ def requests_rebirth(metrics: Column) -> Column:
 def rebirths(requests: DataFrame, state: DataFrame, stored_births: DataFrame) -> DataFrame:
     """Births to replay for requests (node, device_id or NULL for all of the node, ts).
 
-    ``state`` and ``stored_births`` name the node of each device. A request without device
-    concerns the devices of its own node only. Devices with current state get a full birth
+    ``state`` and ``stored_births`` name the node of each device. A request concerns its own node
+    only: devices of other nodes may have the same name. Devices with current state get a full birth
     from it, others their stored birth with a new sequence number and time.
     """
     known = state.groupBy("node", "device_id").agg(F.count(F.lit(1)).alias("metric_count"))
     stored = stored_births.select("node", "device_id", "payload")
     devices = known.join(stored, ["node", "device_id"], "full_outer")
     # One request per device and per node before the join, however often they were sent.
-    own = requests.filter("device_id IS NOT NULL").groupBy("device_id").agg(F.max("ts").alias("own_ts"))
+    own = requests.filter("device_id IS NOT NULL").groupBy("node", "device_id").agg(F.max("ts").alias("own_ts"))
     whole = requests.filter("device_id IS NULL").groupBy("node").agg(F.max("ts").alias("node_ts"))
-    asked = devices.join(own, "device_id", "left").join(whole, "node", "left")
+    asked = devices.join(own, ["node", "device_id"], "left").join(whole, "node", "left")
     return asked.filter("own_ts IS NOT NULL OR node_ts IS NOT NULL").select(
         "node",
         "device_id",

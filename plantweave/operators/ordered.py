@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plantweave.session import ensure_checkpoint_dir
+
 HOUR_MS = 3_600_000
 _SLICE = "_slice"
 
@@ -150,6 +152,58 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int) ->
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
 
+_BUCKETS = 1024
+
+
+def first_rows(df: DataFrame, key: str, ties: list[str], n: int, descending: bool = False) -> DataFrame:
+    """The first ``n`` rows by ``key`` (whole numbers), then by ``ties``; no task holds the ``n`` rows.
+
+    A histogram of ``key`` (values within a range of 2^62) finds the bucket in which the n-th row lies, the next one divides that
+    bucket, until it is one value. Rows before that value are taken by a filter. Only rows
+    with that value are dealt out by ranges of ``ties``, and one range is cut at a row. A null
+    key is less than all others. Rows equal in key and ties are interchangeable. ``df`` is read
+    several times and must give the same rows each time.
+    """
+    if n <= 0:
+        return df.limit(0)
+    value = F.col(key).cast("long")
+    low, high, rows = df.agg(F.min(value), F.max(value), F.count(F.lit(1))).first()
+    if rows <= n:
+        return df
+    if low is None:
+        low = high = 0
+    # Ascending ranks either way; nulls get the rank beside the least value.
+    low, high, null = (-high, -low, -low + 1) if descending else (low, high, low - 1)
+    rank = F.coalesce(-value if descending else value, F.lit(null).cast("long"))
+    low, high, wanted = min(low, null), max(high, null), n
+    while low < high:
+        width = (high - low) // _BUCKETS + 1
+        bucket_of = F.call_function("div", rank - F.lit(low), F.lit(width)).alias("bucket")
+        counts = df.filter(rank.between(low, high)).groupBy(bucket_of).count().orderBy("bucket").collect()  # few rows
+        for bucket, count in counts:
+            if wanted <= count:
+                break
+            wanted -= count
+        low, high = low + bucket * width, min(high, low + (bucket + 1) * width - 1)
+    before, at = df.filter(rank < low), df.filter(rank == low)
+    return before.unionByName(_first_by_ranges(at, ties, wanted))
+
+
+def _first_by_ranges(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows: whole ranges of the order, and of one range the first rows."""
+    ensure_checkpoint_dir(df.sparkSession)
+    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    cut, left = -1, n
+    for part, count in dealt.groupBy("_part").count().orderBy("_part").collect():  # one row per range
+        cut = part
+        if left <= count:
+            break
+        left -= count
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    some = dealt.filter(F.col("_part") == cut).withColumn("_place", place).filter(F.col("_place") <= left).drop("_place")
+    return dealt.filter(F.col("_part") < cut).unionByName(some).drop("_part")
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition by keys for a compute-heavy step.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plantweave.functions import semantics
 from plantweave.operators import dedup, drift, fidelity, mapping, messages, validation
+from plantweave.operators.ordered import latest_per_key
 from plantweave.session import ensure_checkpoint_dir
 from plantweave.sources.rules import MappingRules
 
@@ -61,20 +62,22 @@ def publish_pass(
     kept = validated.filter(F.size("errors") == 0) if reject_invalid else validated
     topics = mapping.last_metric_per_topic(mapping.with_topics(kept.drop("errors"), rules))
     topics = dedup.with_changed(topics, state.hashes).checkpoint()
-    changed = topics.filter("changed")
+    # Of the rows that share a topic the last one is published, and its hash is the one to store.
+    last = latest_per_key(topics, ["topic"], ["timestamp_ms", "elem_order", "asset_id", "submodel", "path"])
+    changed = last.filter("changed")
     payload = semantics.payload(mode, None, source_name)
-    device_rows = messages.route(topics.filter("asset_id IS NOT NULL"), state.births)
+    device_rows = messages.route(last.filter("asset_id IS NOT NULL"), state.births)
     return Pass(
         drift_events=events,
         validated=validated,
-        topics=topics,
+        topics=last,
         changed=changed,
         payloads=changed.select("topic", payload.alias("payload"), "timestamp_ms", "elem_order"),
         assets=topics.filter("asset_id IS NOT NULL").select("asset_id").distinct(),
         fidelity=fidelity.report(topics.filter("asset_id IS NOT NULL")),
         device_rows=device_rows,
         next_fingerprints=drift.replace_fingerprints(state.fingerprints, current),
-        next_hashes=dedup.merge_hashes(state.hashes, changed, F.col("timestamp_ms")),
+        next_hashes=dedup.merge_hashes(state.hashes, changed, F.col("timestamp_ms"), ("elem_order",)),
     )
 
 

@@ -185,3 +185,37 @@ def test_node_rebirth_stays_in_its_node(spark):
     stored = spark.createDataFrame([("n0", "d3", "b"), ("n1", "d2", "b")], "node string, device_id string, payload string")
     got = sorted(tuple(r) for r in messages.rebirths(requests, state, stored).collect())
     assert got == [("n0", "d0", 5, "state", 1), ("n0", "d3", 5, "stored", 0), ("n1", "d2", 4, "stored", 0)]
+
+
+def test_device_rebirth_stays_in_its_node(spark):
+    requests = spark.createDataFrame([("n0", "dev", 5)], "node string, device_id string, ts long")
+    state = spark.createDataFrame([("n0", "dev", "p"), ("n1", "dev", "p")], "node string, device_id string, path string")
+    stored = spark.createDataFrame([], "node string, device_id string, payload string")
+    assert [tuple(r) for r in messages.rebirths(requests, state, stored).collect()] == [("n0", "dev", 5, "state", 1)]
+
+
+def test_hash_of_the_later_element_is_stored(spark):
+    table = spark.createDataFrame([], "topic string, hash string, updated_at long, created_at long")
+    changed = spark.createDataFrame([("t", "z", "1"), ("t", "a", "2")], "topic string, hash string, elem_order string")
+    got = dedup.merge_hashes(table, changed, F.lit(3).cast("bigint"), ("elem_order",)).collect()
+    assert [(r.topic, r.hash) for r in got] == [("t", "a")]
+
+
+def test_a_repeated_pass_publishes_nothing(spark, metric_rows):
+    """Rows that share a topic at one instant give one payload, whose hash is stored."""
+    from plantweave.plans.publish import State, publish_pass
+    from plantweave.streaming.publish import FINGERPRINTS, HASHES
+
+    rows = metric_rows(
+        {"value_json": "9", "elem_order": "1"}, {"asset_id": "https://other.com/a1", "value_json": "1", "elem_order": "2"},
+        {"asset_id": "https://third.com/a1", "value_json": "5", "elem_order": "2"}, {"path": "S.q", "value_json": "7"},
+    )
+    hashes = spark.createDataFrame([], HASHES)
+    rules, constraints = mapping_rules(spark, {"default": {"enterprise": "E"}}), constraint_rules(spark, {})
+    counts = []
+    for _ in range(3):
+        state = State(spark.createDataFrame([], FINGERPRINTS), hashes, spark.createDataFrame([], "device_id string"))
+        result = publish_pass(rows, state, rules, constraints, reject_invalid=False)
+        counts.append(result.payloads.count())
+        hashes = spark.createDataFrame(result.next_hashes.collect(), HASHES)
+    assert counts == [2, 0, 0]

@@ -67,3 +67,25 @@ def test_latest_and_top(rows):
     last = ordered.latest_per_key(rows, ["k"], ["ts", "i"]).collect()
     top = ordered.top_per_key(rows, ["k"], [F.col("ts").desc(), F.col("i").desc()], 1).collect()
     assert sorted(map(str, last)) == sorted(map(str, top))
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_first_rows_equal_a_sort(spark, descending):
+    """Many rows share a key, some have none, keys are far apart."""
+    rng = random.Random(11)
+    keys = [None, 5, 5, -3, 1_700_000_000_000, *(rng.randrange(10**12) for _ in range(40))]
+    data = [(rng.choice(keys), f"t{i:04}") for i in range(600)]
+    df = spark.createDataFrame(data, "k bigint, t string").repartition(4).checkpoint()
+    least = min(k for k, _ in data if k is not None) - 1
+    sign = -1 if descending else 1
+    want = sorted(data, key=lambda r: (sign * (least if r[0] is None else r[0]), r[1]))
+    for n in (0, 1, 7, 333, 599, 600, 900):
+        got = [tuple(r) for r in ordered.first_rows(df, "k", ["t"], n, descending).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, want[:n]))
+
+
+def test_first_rows_of_few_keys(spark):
+    nothing = spark.createDataFrame([], "k bigint, t string")
+    assert ordered.first_rows(nothing, "k", ["t"], 3).count() == 0
+    same = spark.range(500).select(F.lit(None).cast("bigint").alias("k"), F.format_string("%05d", "id").alias("t"))
+    assert sorted(r.t for r in ordered.first_rows(same, "k", ["t"], 20).collect()) == [f"{i:05}" for i in range(20)]
