@@ -2,7 +2,8 @@
 
 Batch form: per asset the rows of one day are the reference window for the next
 day's rows, so windows are independent and run in parallel. The streaming form in
-``plantweave.streaming.anomaly`` scores and updates row by row instead.
+``plantweave.streaming.processors`` scores and updates row by row instead, and so does
+``plantweave.operators.online`` in batch.
 
 A row's path through a tree is fixed by the last node on it. So the reference rows are
 counted per last node, which is at most ``trees * 2^(depth-1)`` numbers per window
@@ -88,7 +89,7 @@ def last_nodes(x: np.ndarray, dims: np.ndarray, splits: np.ndarray, depth: int)
     return node
 
 
-def _leaf_codes(trees: int, depth: int, seed: int):
+def leaf_codes(trees: int, depth: int, seed: int):
     """Arrow function: scaled features to one code ``tree * 2^depth + last node`` per tree."""
     dims, splits = tree_arrays(trees, depth, seed)
     offset = np.arange(trees) << depth
@@ -106,7 +107,7 @@ def _leaf_codes(trees: int, depth: int, seed: int):
     return codes
 
 
-def _path_codes(codes: np.ndarray, depth: int) -> np.ndarray:
+def path_codes(codes: np.ndarray, depth: int) -> np.ndarray:
     """Codes of all nodes on the path to each code, in a new last axis."""
     tree, node = codes >> depth, codes & ((1 << depth) - 1)
     up = np.arange(depth)
@@ -146,7 +147,7 @@ def _scaled() -> Column:
 
 def _leaf_counts(rows: DataFrame, ranges: DataFrame, trees: int, depth: int, seed: int) -> DataFrame:
     """Reference rows per window and last node."""
-    codes = _leaf_codes(trees, depth, seed)
+    codes = leaf_codes(trees, depth, seed)
     scaled = rows.select("asset_id", (F.col("day") + 1).alias("window"), "f").join(
         ranges, ["asset_id", "window"]
     )
@@ -192,7 +193,7 @@ def score(
     size and divides by that. An observation without a reference window scores 0.5.
     """
     rows, ranges = _windows(metrics)
-    codes = _leaf_codes(trees, depth, seed)
+    codes = leaf_codes(trees, depth, seed)
     keys = ["asset_id", "window"]
     state = (
         _leaf_counts(rows, ranges, trees, depth, seed)
@@ -279,13 +280,13 @@ def _mass_of_rows(depth: int, cap: int | None):
             known = rows["codes"].notna().to_numpy()
             if known.any() and len(code):
                 span = int(code.max()) + (1 << depth)
-                path = owner[:, None] * span + _path_codes(code, depth)
+                path = owner[:, None] * span + path_codes(code, depth)
                 nodes, where = np.unique(path.ravel(), return_inverse=True)
                 mass = np.bincount(where, weights=np.repeat(count, depth)).astype("int64")
                 mass = mass if cap is None else np.minimum(mass, cap)
                 wanted = np.stack(rows["codes"][known].to_numpy()).astype("int64")
                 # A code above the span belongs to a tree without counts in this batch.
-                ask = _path_codes(wanted, depth)
+                ask = path_codes(wanted, depth)
                 inside = ask < span
                 ask = number[~is_state][known][:, None, None] * span + ask
                 at = np.minimum(np.searchsorted(nodes, ask), len(nodes) - 1)

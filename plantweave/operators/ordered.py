@@ -24,6 +24,12 @@ def time_slice(ts_ms: Column, width_ms: int = HOUR_MS) -> Column:
     return ts_ms - F.pmod(ts_ms, F.lit(width_ms))
 
 
+def slice_width(df: DataFrame, ts: str, rows: int) -> int:
+    """Width in ms of slices that hold about ``rows`` rows of the whole table, an hour at most."""
+    first, last, n = df.agg(F.min(ts), F.max(ts), F.count(ts)).first()
+    return HOUR_MS if not n else max(1, min(HOUR_MS, (last - first + 1) * rows // n))
+
+
 def lag_in_order(
     df: DataFrame,
     keys: list[str],

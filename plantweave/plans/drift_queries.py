@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plantweave.functions import scoring
-from plantweave.operators import anomaly, drift, fidelity
+from plantweave.operators import anomaly, drift, fidelity, online
 from plantweave.plans import views as v
 from plantweave.plans.registry import query
 
@@ -231,6 +231,39 @@ def anomaly_scores_cumulative(spark, sf):
     return scores.select("elem_order", F.round("anomaly_score", 9).alias("score"))
 
 
+_X = [1, 2, 3, 4, 5]
+ORDERED_FOREST = f"""{_FEATURES}, {_NODES},
+placed AS (SELECT *, row_number() OVER a AS seq, [{", ".join(f"min(f[{i}]) OVER b" for i in _X)}] AS lo, [{", ".join(f"max(f[{i}]) OVER b" for i in _X)}] AS hi
+  FROM feat WINDOW a AS (PARTITION BY asset_id ORDER BY timestamp_ms, elem_order),
+    b AS (PARTITION BY asset_id ORDER BY timestamp_ms, elem_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+roles AS (SELECT false AS counts, asset_id, seq, f, lo, hi FROM placed WHERE seq > 1
+  UNION ALL SELECT true, asset_id, seq, f, [least(lo[i], f[i]) FOR i IN {_X}], [greatest(hi[i], f[i]) FOR i IN {_X}] FROM placed),
+scaled AS (SELECT counts, asset_id, seq, [CASE WHEN hi[i] > lo[i] THEN (f[i] - lo[i]) / (hi[i] - lo[i]) ELSE 0.5 END FOR i IN {_X}] AS x FROM roles),
+walk(counts, asset_id, seq, x, tree, lvl, node) AS (
+  SELECT counts, asset_id, seq, x, t, 0, 0 FROM scaled, range({T}) a(t)
+  UNION ALL SELECT w.counts, w.asset_id, w.seq, w.x, w.tree, lvl + 1, CAST(w.node * 2 + CASE WHEN x[dim + 1] < split THEN 1 ELSE 2 END AS INTEGER)
+  FROM walk w JOIN nodes n ON n.tree = w.tree AND n.node = w.node WHERE lvl < {D - 1}),
+passed AS (SELECT counts, asset_id, seq, count(*) FILTER (counts) OVER (PARTITION BY asset_id, tree, node ORDER BY seq, counts
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM walk),
+total AS (SELECT asset_id, seq, sum(least(n, {W})) AS total FROM passed WHERE NOT counts GROUP BY ALL),
+scores AS (SELECT p.*, seq AS observations, coalesce(1.0::DOUBLE - total / {W * T * D}.0::DOUBLE, 0.5) AS score
+  FROM placed p LEFT JOIN total USING (asset_id, seq))"""
+
+
+def scores_in_order(spark, sf):
+    return online.score_then_update(v.metrics(spark, sf))
+
+
+@query(
+    "anomaly_scores_in_order",
+    f"WITH RECURSIVE {ORDERED_FOREST} SELECT asset_id, elem_order, observations, round(score, 9) AS score FROM scores",
+)
+def anomaly_scores_in_order(spark, sf):
+    return scores_in_order(spark, sf).select(
+        "asset_id", "elem_order", "observations", F.round("anomaly_score", 9).alias("score")
+    )
+
+
 def results_of(spark, sf):
     return anomaly.classify(anomaly.score(v.metrics(spark, sf)))
 

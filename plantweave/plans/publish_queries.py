@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plantweave.operators import drift
 from plantweave.plans import views as v
 from plantweave.plans.asset_queries import _LIFE, COOLDOWN_MS, STALE_MS
-from plantweave.plans.drift_queries import sql_cooldown
+from plantweave.plans.drift_queries import ORDERED_FOREST, sql_cooldown
 from plantweave.plans.publish import State, publish_pass, summary
 from plantweave.plans.registry import query
 from plantweave.plans.semantic_queries import _INLINE, _VALIDATED, CUT_MS
@@ -132,12 +132,15 @@ def stream_lifecycle(spark, sf):
     return _run(spark, "lifecycle", processors.lifecycle_stream(rows, STALE_MS))
 
 
-@query("stream_anomaly_scores")
+@query(
+    "stream_anomaly_scores",
+    f"WITH RECURSIVE {ORDERED_FOREST} SELECT asset_id AS k, timestamp_ms AS ts, elem_order AS ord, round(score, 9) AS score FROM scores",
+)
 def stream_anomaly_scores(spark, sf):
-    """No SQL: each score depends on all earlier updates of its asset's trees."""
     processors.use_rocksdb(spark)
     metrics = v.metrics_of(event_stream(spark, sf))
-    return _run(spark, "anomaly", processors.anomaly_stream(metrics))
+    out = _run(spark, "anomaly", processors.anomaly_stream(metrics))
+    return out.withColumn("score", F.round("score", 9))
 
 
 @query(
