@@ -1,16 +1,19 @@
 """Greedy cooldown: emit a row only if enough time passed since the last emitted one.
 
-The rule is sequential, but a slice of the time line can be summarised on its own. The
+The rule is sequential, but a slice of the time line can be summarised on its own, as a step
+function from the earliest instant that may emit at its start to the one after its end. The
 emission before a slice lies outside it, so the slice's first emission is one of its times
-within the first cooldown, or the first time after that. Three passes follow, each a stream
-over sorted rows that holds one slice's open chains at most:
+within the first cooldown, or the first time after that: the steps are few. Functions of
+neighbouring slices compose to a function of the same kind. So, with streams over sorted rows:
 
-1. per (key, slice), in parallel: where the chain from each possible first emission ends;
-2. per key, over those ends only: the earliest instant each slice may emit at;
-3. per (key, slice), in parallel: the emissions from that instant on.
+1. per (key, slice): the function of the slice;
+2. up a tree: per (key, ``RADIX`` neighbours) their composition, ``LEVELS`` times;
+3. down the tree: per (key, group) the earliest instant of each member, from the group's own;
+4. per (key, slice): the emissions from that instant on.
 
-No array of a key's times is built. What the second pass reads is a slice's chains that
-differ, at most the distinct instants of one cooldown in each slice of ``SLICE`` cooldowns.
+No array of a key's times is built, and no task reads all slices of a key: a function has at
+most the distinct instants of one cooldown as steps, a task of passes 2 and 3 reads ``RADIX``
+of them per group, and the top one per ``RADIX ** LEVELS`` slices of ``SLICE`` cooldowns.
 """
 
 from __future__ import annotations
@@ -24,8 +27,10 @@ from pyspark.sql import functions as F
 
 from plantweave.operators.ordered import HOUR_MS, spread, time_slice
 
-#: Cooldowns per slice.
-SLICE = 12
+#: Cooldowns per slice, neighbours that are composed to one function, and how often.
+SLICE, RADIX, LEVELS = 12, 64, 2
+#: Before all times.
+_EVER = -(1 << 62)
 
 
 def _groups(pdf: pd.DataFrame, columns: list[str]) -> Iterator[tuple[tuple, int, int]]:
@@ -72,10 +77,10 @@ class _Chains:
         self.last = _advance(times, merged, self.cooldown)
 
     def steps(self) -> tuple[np.ndarray, np.ndarray]:
-        """Entries and ends; of a run of equal ends the largest entry stands for all."""
-        ends = self.last[self.chain]
-        keep = np.append(ends[1:] != ends[:-1], True)
-        return self.entries[keep], ends[keep]
+        """Entries and the earliest instants after; of a run of equal ones the largest entry stands for all."""
+        after = self.last[self.chain] + self.cooldown
+        keep = np.append(after[1:] != after[:-1], True)
+        return self.entries[keep], after[keep]
 
 
 def _frame(columns: list[str], rows: list[tuple]) -> pd.DataFrame:
@@ -83,7 +88,7 @@ def _frame(columns: list[str], rows: list[tuple]) -> pd.DataFrame:
 
 
 def _chain_ends(keys: list[str], cooldown: int) -> Callable:
-    group, columns = [*keys, "_slice"], [*keys, "_slice", "_entry", "_end"]
+    group, columns = [*keys, "_slice"], [*keys, "_slice", "_entry", "_next"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_key, chains = None, None
@@ -102,23 +107,77 @@ def _chain_ends(keys: list[str], cooldown: int) -> Callable:
     return run
 
 
-def _slice_starts(keys: list[str], cooldown: int) -> Callable:
-    group, columns = [*keys, "_slice"], [*keys, "_slice", "_earliest"]
+class _Steps:
+    """A function of the earliest instant: the value of the first entry not before it, or itself."""
+
+    def __init__(self) -> None:
+        self.entries = self.values = np.zeros(0, dtype="int64")
+
+    def then(self, entries: np.ndarray, values: np.ndarray, limit: int) -> None:
+        """Go on with a later slice's function; instants from ``limit`` on are never asked."""
+        at = np.searchsorted(entries, self.values, side="left")
+        mapped = np.where(at < len(entries), values[np.minimum(at, len(entries) - 1)], self.values)
+        later = entries > self.entries[-1] if len(self.entries) else np.ones(len(entries), dtype=bool)
+        entries, values = np.append(self.entries, entries[later]), np.append(mapped, values[later])
+        keep = np.append(values[1:] != values[:-1], True)  # the last entry of a run stands for it
+        entries, values = entries[keep], values[keep]
+        end = int(np.searchsorted(entries, limit, side="left")) + 1
+        self.entries, self.values = entries[:end], values[:end]
+
+
+def _composed(keys: list[str], cooldown: int) -> Callable:
+    """Function of each parent from those of its slices."""
+    group, columns = [*keys, "_parent", "_slice"], [*keys, "_slice", "_entry", "_next"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_key, steps, parts = None, _Steps(), []
+
+        def close_slice() -> None:
+            if parts:
+                entries, values = (np.concatenate(c) for c in zip(*parts))
+                steps.then(entries, values, int(open_key[-2]) + cooldown)
+                parts.clear()
+
+        def parent_rows() -> list[tuple]:
+            return [(*open_key[:-1], e, x) for e, x in zip(steps.entries, steps.values)]
+
+        for pdf in batches:
+            entries, values, rows = pdf["_entry"].to_numpy(), pdf["_next"].to_numpy(), []
+            for key, a, b in _groups(pdf, group):
+                if key != open_key:
+                    close_slice()
+                    if open_key is not None and key[:-1] != open_key[:-1]:
+                        rows += parent_rows()
+                        steps = _Steps()
+                    open_key = key
+                parts.append((entries[a:b], values[a:b]))
+            yield _frame(columns, rows)
+        if open_key is not None:
+            close_slice()
+            yield _frame(columns, parent_rows())
+
+    return run
+
+
+def _slice_starts(keys: list[str]) -> Callable:
+    """Earliest instant of each slice of a parent, whose own is ``_start``."""
+    group, columns = [*keys, "_parent", "_slice"], [*keys, "_slice", "_earliest"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_key, earliest, found = None, None, False
         for pdf in batches:
-            entries, ends, rows = pdf["_entry"].to_numpy(), pdf["_end"].to_numpy(), []
+            entries, values, rows = pdf["_entry"].to_numpy(), pdf["_next"].to_numpy(), []
+            starts = pdf["_start"].to_numpy()
             for key, a, b in _groups(pdf, group):
                 if key != open_key:
                     if open_key is None or key[:-1] != open_key[:-1]:
-                        earliest = int(key[-1])  # a key's first slice: any of its times
+                        earliest = int(starts[a])
                     open_key, found = key, False
-                    rows.append((*key, earliest))
+                    rows.append((*key[:-2], key[-1], earliest))
                 if not found:
                     i = a + int(np.searchsorted(entries[a:b], earliest, side="left"))
                     if i < b:
-                        earliest, found = int(ends[i]) + cooldown, True
+                        earliest, found = int(values[i]), True
             yield _frame(columns, rows)
 
     return run
@@ -142,6 +201,31 @@ def _emissions(keys: list[str], ts: str, cooldown: int) -> Callable:
     return run
 
 
+def _named(df: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys)
+
+
+def _levels(rows: DataFrame, keys: list[str], cooldown: int, width: int) -> list[DataFrame]:
+    """Functions of slices, of groups of them, and so on, each dealt out by its parent.
+
+    Going up and down read a level from the same exchange, so no function is found twice.
+    """
+    schema = f"{_named(rows, keys)}, _slice bigint, _entry bigint, _next bigint"
+    group = [*keys, "_slice"]
+    steps = spread(rows, *group).sortWithinPartitions(*group, "_ts").mapInPandas(_chain_ends(keys, cooldown), schema)
+    levels = []
+    for level in range(1, LEVELS + 1):
+        parent = time_slice(F.col("_slice"), width * RADIX**level)
+        levels.append(steps.withColumn("_parent", parent).repartition(*keys, "_parent"))
+        steps = (
+            levels[-1]
+            .sortWithinPartitions(*keys, "_parent", "_slice", "_entry")
+            .mapInPandas(_composed(keys, cooldown), schema)
+        )
+    levels.append(steps.withColumn("_parent", F.lit(0).cast("bigint")).repartition(*keys, "_parent"))
+    return levels
+
+
 def cooldown_times(
     df: DataFrame, keys: list[str], ts: str, cooldown_ms: int, slice_ms: int | None = None
 ) -> DataFrame:
@@ -149,18 +233,20 @@ def cooldown_times(
     width = slice_ms or max(cooldown_ms * SLICE, HOUR_MS)
     rows = df.select(*keys, F.col(ts).cast("bigint").alias("_ts")).dropna()
     rows = rows.withColumn("_slice", time_slice(F.col("_ts"), width))
-    named = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys)
+    named = _named(df, keys)
     group = [*keys, "_slice"]
-    ends = (
-        spread(rows, *group)
-        .sortWithinPartitions(*group, "_ts")
-        .mapInPandas(_chain_ends(keys, cooldown_ms), f"{named}, _slice bigint, _entry bigint, _end bigint")
-    )
-    starts = (
-        ends.repartition(*keys)
-        .sortWithinPartitions(*group, "_entry")
-        .mapInPandas(_slice_starts(keys, cooldown_ms), f"{named}, _slice bigint, _earliest bigint")
-    )
+    levels = _levels(rows, keys, cooldown_ms, width)
+    starts = None
+    for steps in reversed(levels):
+        if starts is None:
+            known = steps.withColumn("_start", F.lit(_EVER))
+        else:
+            above = starts.select(*keys, F.col("_slice").alias("_parent"), F.col("_earliest").alias("_start"))
+            # Each row has its parent; an inner join would filter nulls below the exchange, which then is another one.
+            known = steps.join(above, [*keys, "_parent"], "left")
+        starts = known.sortWithinPartitions(*keys, "_parent", "_slice", "_entry").mapInPandas(
+            _slice_starts(keys), f"{named}, _slice bigint, _earliest bigint"
+        )
     # A slice's start is sorted in front of its rows.
     first = starts.select(*group, F.lit(0).alias("_role"), F.lit(0).cast("bigint").alias("_ts"), "_earliest")
     rest = rows.select(*group, F.lit(1).alias("_role"), "_ts", F.lit(0).cast("bigint").alias("_earliest"))

@@ -33,7 +33,7 @@ def test_global_numbers(rows):
     assert sorted(r.n for r in got) == list(range(3000))
 
 
-@pytest.mark.parametrize("cooldown, width", [(500, 1000), (500, 5000), (5000, 1000), (1, 100), (100_000, 2000)])
+@pytest.mark.parametrize("cooldown, width", [(500, 1000), (500, 5000), (5000, 1000), (1, 100), (100_000, 2000), (700, 2), (3, 2), (1, 1)])
 def test_cooldown_equals_sequential_rule(rows, cooldown, width):
     want = set()
     by_key = {}
@@ -49,6 +49,21 @@ def test_cooldown_equals_sequential_rule(rows, cooldown, width):
     assert {(r.k, r.ts) for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("slices", [64, 512, 4096])
+def test_cooldown_tree_of_evenly_spaced_rows(spark, slices):
+    """Chains that never meet: a task of the tree reads a bounded number of steps, however many slices the key has."""
+    cooldown, width, apart = 100, 1200, 50  # two chains per slice
+    ts = spark.range(slices * width // apart).select(F.lit("hot").alias("k"), (F.col("id") * apart).alias("ts"))
+    rows = ts.select("k", F.col("ts").alias("_ts"), ordered.time_slice(F.col("ts"), width).alias("_slice"))
+    most = [
+        max(r["count"] for r in level.groupBy("k", "_parent").count().collect())
+        for level in throttle._levels(rows, ["k"], cooldown, width)
+    ]
+    assert most[0] <= 64 * 3 and most[1] <= 64 * 3 and most[2] <= 3 * -(-slices // 4096)
+    got = sorted(r.ts for r in throttle.cooldown_times(ts, ["k"], "ts", cooldown, slice_ms=width).collect())
+    assert got == list(range(0, slices * width, cooldown))
+
+
 def test_cooldown_of_one_dense_key(spark):
     """Two million rows of one key a second apart; no array of times is built on the way."""
     n, cooldown = 2_000_000, 300_500
