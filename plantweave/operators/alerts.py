@@ -2,8 +2,9 @@
 
 ``samples`` has name, label columns, ts (epoch ms, on a fixed step) and value: one row
 per series and step. Work per series is therefore bounded by the time line.
-Trailing ranges are built by sending each sample to the steps whose range holds it, so
-they are plain aggregations; only neighbouring samples need a window.
+A trailing range is the sum up to a step less the sum up to the step one range before. Each
+sample enters its series twice, at its own step and one range later, so the work does not grow
+with the number of steps in a range; steps between two such instants repeat the last result.
 """
 
 from __future__ import annotations
@@ -24,22 +25,58 @@ def with_increase(samples: DataFrame, labels: list[str]) -> DataFrame:
     return samples.withColumn("step_increase", grown.otherwise(F.col("value") - before))
 
 
-def _spread(samples: DataFrame, range_ms: Column, step_ms: int) -> DataFrame:
-    """Send each sample to every step whose trailing range holds it."""
-    ahead = F.sequence(F.col("ts"), F.col("ts") + range_ms - step_ms, F.lit(step_ms))
-    return samples.withColumn("ts", F.explode(ahead))
+def trailing(
+    rows: DataFrame, keys: list[str], range_ms: Column | int, step_ms: int, last: Column, columns: list[str]
+) -> DataFrame:
+    """Sum of ``columns`` over the trailing range, at each step up to ``last`` whose range holds a row.
+
+    ``rows`` is unique in (keys, ts), its values are not negative, ``range_ms`` is one value per key. A
+    sum is NULL where the range holds no value of its column. Keys may be NULL. Sums are differences of
+    running sums, so fractions may be off by rounding; a range without growth gives exactly 0.
+    """
+    range_ms = range_ms if isinstance(range_ms, Column) else F.lit(range_ms)
+    upto = Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    sums = {"_rows": F.count(F.lit(1)).over(upto)}
+    for c in columns:
+        sums |= {f"_sum_{c}": F.sum(F.coalesce(F.col(c), F.lit(0))).over(upto), f"_n_{c}": F.count(c).over(upto)}
+    summed = rows.select(*keys, "ts", range_ms.alias("_range"), *[v.alias(k) for k, v in sums.items()])
+    state = F.struct(*sums)
+    empty = F.lit(None).cast(summed.select(state).schema[0].dataType)
+    two = F.inline(F.array(
+        F.struct("ts", state.alias("now"), empty.alias("then")),
+        F.struct((F.col("ts") + F.col("_range")).alias("ts"), empty.alias("now"), state.alias("then")),
+    ))
+    instants = summed.select(*keys, two).groupBy(*keys, "ts").agg(F.max("now").alias("now"), F.max("then").alias("then"))
+    order = Window.partitionBy(*keys).orderBy("ts")
+    filled = instants.select(
+        *keys,
+        "ts",
+        F.lead("ts").over(order).alias("_until"),
+        F.last("now", ignorenulls=True).over(upto).alias("now"),
+        F.last("then", ignorenulls=True).over(upto).alias("then"),
+    )
+
+    def grown(name: str) -> Column:
+        return F.col(f"now.{name}") - F.coalesce(F.col(f"then.{name}"), F.lit(0))
+
+    steps = F.sequence(F.col("ts"), F.least(F.col("_until") - step_ms, F.col("_last")), F.lit(step_ms))
+    return (
+        filled.withColumn("_last", last)
+        .filter((F.col("ts") <= F.col("_last")) & (F.col("_until") > F.col("ts")) & (grown("_rows") > 0))
+        .select(
+            *keys,
+            F.explode(steps).alias("ts"),
+            *[F.when(grown(f"_n_{c}") > 0, grown(f"_sum_{c}")).alias(c) for c in columns],
+        )
+    )
 
 
 def increase(samples: DataFrame, labels: list[str], range_ms: int, step_ms: int) -> DataFrame:
     """Counter increase and per-second rate over the trailing range, without extrapolation."""
     last = samples.agg(F.max("ts")).scalar()
     grown = with_increase(samples, labels).filter("step_increase IS NOT NULL")
-    total = (
-        _spread(grown, F.lit(range_ms), step_ms)
-        .groupBy(*_series(labels), "ts")
-        .agg(F.sum("step_increase").alias("increase"))
-    )
-    return total.filter(F.col("ts") <= last).withColumn(
+    grown = grown.withColumnRenamed("step_increase", "increase")
+    return trailing(grown, _series(labels), range_ms, step_ms, last, ["increase"]).withColumn(
         "rate", F.col("increase") / F.lit(range_ms / 1000.0)
     )
 
@@ -48,14 +85,10 @@ def changes(samples: DataFrame, labels: list[str], range_ms: int, step_ms: int)
     """Number of value changes within the trailing range."""
     last = samples.agg(F.max("ts")).scalar()
     over = Window.partitionBy(*_series(labels)).orderBy("ts")
-    before = F.lag("value").over(over)
-    flagged = samples.withColumn("_c", F.when(before.isNotNull(), (F.col("value") != before).cast("int")))
-    return (
-        _spread(flagged, F.lit(range_ms), step_ms)
-        .filter(F.col("ts") <= last)
-        .groupBy(*_series(labels), "ts")
-        .agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("changes"))
-    )
+    # The first sample is no change, but its range holds a sample.
+    changed = F.coalesce((F.col("value") != F.lag("value").over(over)).cast("int"), F.lit(0))
+    flagged = samples.withColumn("changes", changed)
+    return trailing(flagged, _series(labels), range_ms, step_ms, last, ["changes"])
 
 
 def bucket_quantile(buckets: DataFrame, keys: list[str], q: float) -> DataFrame:
@@ -171,23 +204,20 @@ def evaluate(samples: DataFrame, terms: DataFrame, step_ms: int) -> DataFrame:
         F.col("_wanted").isNull() | (F.col("_wanted") == F.col("label"))
     )
     gauge = F.col("kind") == "gauge"
-    reach = F.greatest(F.col("range_ms"), F.lit(step_ms))
-    spread = _spread(
-        joined.filter(gauge | F.col("step_increase").isNotNull()),
-        F.when(gauge, F.lit(step_ms)).otherwise(reach),
-        step_ms,
-    ).filter(F.col("ts") <= last)
     part = F.col("role") == "part"
-    total = F.sum(F.when(part, F.col("step_increase")))
-    per_term = spread.groupBy(
-        "rule", "severity", "for_ms", "terms", "term", "kind", "op", "threshold", "range_ms",
-        "instance", "ts",
-    ).agg(
-        total.alias("_part"),
-        F.sum(F.when(~part, F.col("step_increase"))).alias("_total"),
-        F.max("value").alias("_hi"),
-        F.min("value").alias("_lo"),
+    term = ["rule", "severity", "for_ms", "terms", "term", "kind", "op", "threshold", "range_ms", "instance"]
+    gauges = joined.filter(gauge).groupBy(*term, "ts").agg(F.max("value").alias("_hi"), F.min("value").alias("_lo"))
+    counters = (
+        joined.filter(~gauge & F.col("step_increase").isNotNull())
+        .groupBy(*term, "ts")
+        .agg(
+            F.sum(F.when(part, F.col("step_increase"))).alias("_part"),
+            F.sum(F.when(~part, F.col("step_increase"))).alias("_total"),
+        )
     )
+    reach = F.greatest(F.col("range_ms"), F.lit(step_ms))
+    ranges = trailing(counters, term, reach, step_ms, last, ["_part", "_total"])
+    per_term = ranges.unionByName(gauges, allowMissingColumns=True)
     # Of several gauge series of an instance one that meets the threshold is enough.
     low = F.col("op") == "<"
     value = (
