@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plantweave.functions import semantics
 from plantweave.operators import messages
+from plantweave.operators.ordered import latest_per_key
 from plantweave.plans import views as v
 from plantweave.plans.registry import query
 from plantweave.plans.semantic_queries import _METRIC_PROPS, _code, _list_json, _q, _sql_entries
@@ -241,12 +242,14 @@ def stored_births_query(spark, sf):
 
 @query(
     "stored_births_removed",
-    f"WITH {_STORE} SELECT device_id FROM births WHERE device_id NOT IN (SELECT device_id FROM messages WHERE kind = 'DDEATH')",
+    f"""WITH {_STORE} SELECT device_id FROM births WHERE device_id NOT IN (SELECT device_id FROM messages WHERE device_id IS NOT NULL
+      GROUP BY device_id HAVING arg_max(kind, struct_pack(ts := ts, n := seq_order)) = 'DDEATH')""",
 )
 def stored_births_removed(spark, sf):
-    dead = v.message_log(spark, sf)
-    dead = messages.sessions(dead).filter("kind = 'DDEATH'").select("device_id").distinct()
-    return messages.remove_births(stored_births(spark, sf), dead).select("device_id")
+    """Births of the devices whose last message is not a death."""
+    log = messages.sessions(v.message_log(spark, sf)).filter("device_id IS NOT NULL")
+    last = latest_per_key(log.select("device_id", "kind", "ts", "seq_order"), ["device_id"], ["ts", "seq_order"])
+    return messages.remove_births(stored_births(spark, sf), last.filter("kind = 'DDEATH'").select("device_id")).select("device_id")
 
 
 _CMD_METRICS = """CASE WHEN k % 5 = 0 THEN 'Node Control/Rebirth' WHEN k % 5 = 1 THEN 'Rebirth' ELSE 'Limit' END AS name,
