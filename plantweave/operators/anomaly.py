@@ -7,8 +7,9 @@ day's rows, so windows are independent and run in parallel. The streaming form i
 
 A row's path through a tree is fixed by the last node on it. So the reference rows are
 counted per last node, which is at most ``trees * 2^(depth-1)`` numbers per window
-however many rows it has. Scoring sorts each window's counts in front of its rows and
-streams through them, so nothing is multiplied by nodes and no window is held whole.
+however many rows it has. Each window's ranges, reference rows and rows to score are sorted
+behind one another and read as a stream: a row is shuffled as itself, never as its nodes, and
+no window is held whole. Only days with very many rows of an asset are counted before.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,16 +148,193 @@ def _scaled() -> Column:
     )
 
 
+_KEYS = ["asset_id", "window"]
+_GROUP = [*_KEYS, "piece"]
+#: What a row is to its window, in the order of reading.
+_RANGE, _COUNTS, _REFERENCE, _OBSERVED = range(4)
+#: A day with more rows of an asset is scored in pieces and counted before the windows are read.
+SALT_ROWS = 200_000
+#: Rows of a batch that are worked on at once.
+_SLICE_ROWS = 4096
+
+
 def _leaf_counts(rows: DataFrame, ranges: DataFrame, trees: int, depth: int, seed: int) -> DataFrame:
     """Reference rows per window and last node."""
     codes = leaf_codes(trees, depth, seed)
-    scaled = rows.select("asset_id", (F.col("day") + 1).alias("window"), "f").join(
-        ranges, ["asset_id", "window"]
-    )
     return (
-        scaled.select("asset_id", "window", F.explode(codes(_scaled())).alias("code"))
-        .groupBy("asset_id", "window", "code")
+        rows.join(ranges, _KEYS)
+        .select(*_KEYS, F.explode(codes(_scaled())).alias("code"))
+        .groupBy(*_KEYS, "code")
         .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(*_KEYS)
+        .agg(F.collect_list(F.struct("code", "n")).alias("s"))
+        .select(*_KEYS, F.col("s.code").alias("codes"), F.col("s.n").alias("counts"))
+    )
+
+
+def _lined_up(metrics: DataFrame, trees: int, depth: int, seed: int, observed: bool) -> DataFrame:
+    """Each window's ranges and reference rows, and behind them the rows to score.
+
+    A window is one group of a task. Where the reference day is large, its rows are counted per last
+    node first and their counts take their place; where the day to score is large, it is dealt
+    out to pieces with the same counts each.
+    """
+    rows, ranges = _windows(metrics)
+    reference = rows.select("asset_id", (F.col("day") + 1).alias("window"), "f").filter("asset_id IS NOT NULL AND window IS NOT NULL")
+    # At most one per SALT_ROWS rows.
+    large = (
+        rows.groupBy("asset_id", "day").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SALT_ROWS)
+        .select("asset_id", "day", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("pieces"))
+    )
+    pieces = large.withColumnRenamed("day", "window")
+    counted = large.select("asset_id", (F.col("day") + 1).alias("window"))
+    if observed:
+        counted = counted.union(pieces.select(*_KEYS)).distinct()
+    counts = _leaf_counts(reference.join(F.broadcast(counted), _KEYS, "left_semi"), ranges, trees, depth, seed)
+    plain = reference.join(F.broadcast(counted), _KEYS, "left_anti").withColumn("role", F.lit(_REFERENCE))
+    heads = counts.withColumn("role", F.lit(_COUNTS)).unionByName(
+        ranges.filter("asset_id IS NOT NULL AND window IS NOT NULL").withColumn("role", F.lit(_RANGE)), True
+    )
+    if observed:
+        each = F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)
+        heads = heads.join(F.broadcast(pieces), _KEYS, "left").withColumn("piece", F.explode(each)).drop("pieces")
+        piece = F.pmod(F.xxhash64("elem_order"), F.coalesce("pieces", F.lit(1))).cast("int")
+        asked = (
+            rows.withColumnRenamed("day", "window").join(F.broadcast(pieces), _KEYS, "left")
+            .withColumn("piece", piece).withColumn("role", F.lit(_OBSERVED)).drop("pieces")
+        )
+        lines = heads.unionByName(plain.withColumn("piece", F.lit(0)), True).unionByName(asked, True)
+    else:
+        lines = heads.unionByName(plain, True).withColumn("piece", F.lit(0))
+    return spread(lines, *_GROUP).sortWithinPartitions(*_GROUP, "role")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Arrays of one length as rows; NaN for null."""
+    return np.array(column.flatten().to_numpy(zero_copy_only=False)).reshape(len(column), -1)
+
+
+def _levels(key: np.ndarray, count: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(steps up, sorted nodes, their rows) from sorted last nodes; nodes of a level keep their order on the way up."""
+    for up in range(depth):
+        node = _above(key, up, depth)
+        first = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, "int64")
+        yield up, node[first], np.add.reduceat(count, first) if len(first) else count
+
+
+def _above(key: np.ndarray, up: int, depth: int) -> np.ndarray:
+    """Node ``up`` steps above each last node; keys hold window and tree in their upper bits."""
+    low = key & ((1 << depth) - 1)
+    return key - low + ((low + 1) >> up) - 1
+
+
+class _Slices:
+    """Reads sorted lines of windows; knows the ranges and counts of the window it is in.
+
+    After :meth:`read` a slice's windows are numbered, 0 being the one that was open before; ``key`` and
+    ``count`` are their last nodes, sorted, and how many reference rows end there.
+    """
+
+    def __init__(self, trees: int, depth: int, seed: int):
+        self.dims, self.splits = tree_arrays(trees, depth, seed)
+        self.trees, self.depth, self.span = trees, depth, trees << depth
+        self.name, self.range = None, np.full(2 * FEATURES + 1, np.nan)
+        self.key = self.count = np.zeros(0, "int64")
+        self.number = np.zeros(1, "int64")
+
+    def read(self, lines: pa.RecordBatch) -> None:
+        mine = self.key // self.span == self.number[-1]
+        owners, codes, counts = [np.zeros(mine.sum(), "int64")], [self.key[mine] % self.span], [self.count[mine]]
+        opened = self.range[self.number[-1]] if self.range.ndim == 2 else self.range
+        self.before, self.names = self.name, lines.select(_KEYS)
+        new = np.zeros(len(lines), dtype=bool)
+        for name in _GROUP:
+            column = lines.column(name)
+            other = pc.fill_null(pc.not_equal(column[1:], column[:-1]), True)
+            new[1:] |= other.to_numpy(zero_copy_only=False)
+        new[0] = self.name != tuple(lines.column(c)[0].as_py() for c in _GROUP)
+        self.name = tuple(lines.column(c)[-1].as_py() for c in _GROUP)
+        self.first, self.number, role = np.flatnonzero(new), np.cumsum(new), lines.column("role").to_numpy()
+        self.range = np.full((self.number[-1] + 1, 2 * FEATURES + 1), np.nan)
+        self.range[0] = opened
+        heads = lines.filter(pa.array(role == _RANGE))
+        if len(heads):
+            lo, hi = _matrix(heads.column("lo")), _matrix(heads.column("hi"))
+            # A feature that is null in the whole window has no range, which is not a point either.
+            hi[heads.column("lo").flatten().is_null().to_numpy(zero_copy_only=False).reshape(lo.shape)] = 0.0
+            self.range[self.number[role == _RANGE]] = np.column_stack([lo, hi, heads.column("reference_rows").to_numpy()])
+        state = lines.filter(pa.array(role == _COUNTS))
+        owners.append(np.repeat(self.number[role == _COUNTS], pc.list_value_length(state.column("codes")).to_numpy()))
+        codes.append(state.column("codes").flatten().to_numpy().astype("int64"))
+        counts.append(state.column("counts").flatten().to_numpy())
+        found = self.last(lines, role == _REFERENCE)
+        owners.append(np.zeros(found.size, "int64"))
+        codes.append(found.ravel())
+        counts.append(np.ones(found.size, "int64"))
+        key = np.concatenate(owners) * self.span + np.concatenate(codes)
+        order = np.argsort(key, kind="stable")
+        _, self.key, self.count = next(_levels(key[order], np.concatenate(counts)[order], self.depth))
+
+    def last(self, lines: pa.RecordBatch, wanted: np.ndarray) -> np.ndarray:
+        """Keys of the last nodes of the wanted rows, per tree."""
+        number = self.number[wanted]
+        lo, hi = self.range[number, :FEATURES], self.range[number, FEATURES:-1]
+        f = _matrix(lines.filter(pa.array(wanted)).column("f")) if len(number) else lo
+        point = (hi == lo) | (np.isnan(hi) & np.isnan(lo))
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            x = np.where(point, 0.5, (f - lo) / (hi - lo))
+        node = last_nodes(x, self.dims, self.splits, self.depth)
+        return number[:, None] * self.span + (np.arange(self.trees) << self.depth) + node
+
+    def known(self) -> np.ndarray:
+        """Reference rows per window; 0 without a reference."""
+        return np.nan_to_num(self.range[:, -1]).astype("int64")
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), _SLICE_ROWS):
+            yield batch.slice(at, _SLICE_ROWS)
+
+
+def _tree_masses(metrics: DataFrame, trees: int, depth: int, window: int, seed: int, summed: bool) -> DataFrame:
+    """Per reference window and tree the nodes that its rows pass through and their mass: arrays, or sums over them."""
+
+    out = {"nodes": "bigint", "mass": "bigint", "weighted": "bigint"} if summed else {"node": "array<int>", "mass": "array<bigint>"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices = _Slices(trees, depth, seed)
+
+        def masses(closed: np.ndarray, names: pa.RecordBatch) -> pa.RecordBatch:
+            levels = [(node, mass) for _, node, mass in _levels(slices.key[closed], slices.count[closed], depth)]
+            node, mass = (np.concatenate(c) for c in zip(*levels))
+            order = np.argsort(node, kind="stable")
+            node, mass = node[order], np.minimum(mass[order], window)
+            tree = node >> depth
+            first = np.flatnonzero(np.append(True, tree[1:] != tree[:-1])) if len(tree) else np.zeros(0, "int64")
+            ends, inner = np.append(first, len(tree)), node & ((1 << depth) - 1)
+            if summed:
+                total = lambda x: pa.array(np.add.reduceat(x, first) if len(first) else x)
+                found = [pa.array(np.diff(ends)), total(mass), total(mass * inner)]
+            else:
+                listed = lambda x: pa.ListArray.from_arrays(pa.array(ends.astype("int32")), pa.array(x))
+                found = [listed(inner.astype("int32")), listed(mass)]
+            keys = names.take(pa.array(node[first] // slices.span)).columns
+            columns = [*keys, pa.array((tree[first] % trees).astype("int32")), *found]
+            return pa.RecordBatch.from_arrays(columns, names=[*_KEYS, "tree", *out])
+
+        for lines in _cut(batches):
+            slices.read(lines)
+            before = slices.before or (None,) * len(_KEYS)
+            opened = [pa.array([v], c.type) for v, c in zip(before, slices.names.columns)]
+            numbered = [pa.concat_arrays([o, c.take(pa.array(slices.first))]) for o, c in zip(opened, slices.names.columns)]
+            names = pa.RecordBatch.from_arrays(numbered, names=_KEYS)
+            yield masses(slices.key // slices.span < slices.number[-1], names)
+        if slices.name is not None:
+            yield masses(slices.key // slices.span == slices.number[-1], names)
+
+    return _lined_up(metrics, trees, depth, seed, observed=False).mapInArrow(
+        run, "asset_id string, window bigint, tree int, " + ", ".join(f"{c} {t}" for c, t in out.items())
     )
 
 
@@ -162,21 +342,15 @@ def reference_mass(
     metrics: DataFrame, trees: int = TREES, depth: int = DEPTH, window: int = WINDOW, seed: int = SEED
 ) -> DataFrame:
     """Mass of every node that a reference window's rows pass through."""
-    rows, ranges = _windows(metrics)
-    counts = _leaf_counts(rows, ranges, trees, depth, seed)
-    up = F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("_up")
-    low = (1 << depth) - 1
-    node = F.expr(f"shiftright((code & {low}) + 1, _up) - 1").alias("node")
-    tree = F.shiftright("code", depth).alias("tree")
-    return (
-        counts.select("asset_id", "window", "code", "n", up)
-        .select("asset_id", "window", tree, node, "n")
-        .groupBy("asset_id", "window", "tree", "node")
-        .agg(F.least(F.sum("n"), F.lit(window)).cast("bigint").alias("mass"))
-    )
+    found = _tree_masses(metrics, trees, depth, window, seed, summed=False)
+    return found.select(*_KEYS, "tree", F.inline(F.arrays_zip("node", "mass")))
 
 
-SALT_ROWS = 200_000
+def tree_totals(
+    metrics: DataFrame, trees: int = TREES, depth: int = DEPTH, window: int = WINDOW, seed: int = SEED
+) -> DataFrame:
+    """:func:`reference_mass` per tree: how many nodes, their mass, and their mass times their number."""
+    return _tree_masses(metrics, trees, depth, window, seed, summed=True)
 
 
 def score(
@@ -192,110 +366,36 @@ def score(
     ``windowed`` divides the mass by the reference rows, ``cumulative`` caps it at the window
     size and divides by that. An observation without a reference window scores 0.5.
     """
-    rows, ranges = _windows(metrics)
-    codes = leaf_codes(trees, depth, seed)
-    keys = ["asset_id", "window"]
-    state = (
-        _leaf_counts(rows, ranges, trees, depth, seed)
-        .groupBy(*keys)
-        .agg(F.collect_list(F.struct("code", "n")).alias("s"))
-        .select(*keys, F.col("s.code").alias("codes"), F.col("s.n").alias("counts"))
-    )
-    # A window with many rows is scored in several pieces, each with its own copy of
-    # the counts; the number of rows of a window is the reference size of the next one.
-    pieces = F.ceil(F.col("reference_rows") / SALT_ROWS).cast("int").alias("pieces")
-    sizes = ranges.select("asset_id", (F.col("window") - 1).alias("window"), pieces)
-    none = F.lit(None)
-    states = state.join(sizes, keys).select(
-        *keys,
-        F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"),
-        F.lit(0).alias("role"),
-        "codes",
-        "counts",
-        none.cast("string").alias("path"),
-        none.cast("bigint").alias("timestamp_ms"),
-        none.cast("string").alias("elem_order"),
-        none.cast("double").alias("value_num"),
-        none.cast("bigint").alias("observations"),
-    )
-    observed = (
-        rows.withColumnRenamed("day", "window")
-        .join(ranges, keys, "left")
-        .join(sizes, keys)
-        .select(
-            *keys,
-            F.pmod(F.xxhash64("elem_order"), F.col("pieces")).cast("int").alias("piece"),
-            F.lit(1).alias("role"),
-            codes(F.when(F.col("reference_rows").isNotNull(), _scaled())).alias("codes"),
-            none.cast("array<bigint>").alias("counts"),
-            "path",
-            "timestamp_ms",
-            "elem_order",
-            "value_num",
-            F.coalesce("reference_rows", F.lit(0)).alias("observations"),
-        )
-    )
-    group = ["asset_id", "window", "piece"]
-    both = spread(states.unionByName(observed), *group)
-    lined_up = both.sortWithinPartitions(*group, "role")
-    totals = lined_up.mapInPandas(
-        _mass_of_rows(depth, window if mode == "cumulative" else None),
+    cap = window if mode == "cumulative" else None
+    columns = ["asset_id", "path", "timestamp_ms", "elem_order", "value_num"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices = _Slices(trees, depth, seed)
+        for lines in _cut(batches):
+            slices.read(lines)
+            wanted = lines.column("role").to_numpy() == _OBSERVED
+            asked, total = slices.last(lines, wanted), np.zeros(wanted.sum(), "int64")
+            for up, node, mass in _levels(slices.key, slices.count, depth):
+                ask = _above(asked, up, depth)
+                at = np.minimum(np.searchsorted(node, ask), max(len(node) - 1, 0))
+                if len(node):
+                    mass = mass if cap is None else np.minimum(mass, cap)
+                    total += np.where(node[at] == ask, mass[at], 0).sum(axis=1)
+            rows = lines.filter(pa.array(wanted)).select(columns)
+            seen = pa.array(slices.known()[slices.number[wanted]])
+            yield pa.RecordBatch.from_arrays(
+                [*rows.columns, seen, pa.array(total)], names=[*columns, "observations", "total_mass"]
+            )
+
+    totals = _lined_up(metrics, trees, depth, seed, observed=True).mapInArrow(
+        run,
         "asset_id string, path string, timestamp_ms bigint, elem_order string, value_num double, "
         "observations bigint, total_mass bigint",
     )
     unit = F.lit(window) if mode == "cumulative" else F.col("observations")
     value = F.lit(1.0) - F.col("total_mass") / (unit * (trees * depth))
     scored = F.when(F.col("observations") > 0, value).otherwise(0.5)
-    return totals.select(
-        "asset_id", "path", "timestamp_ms", "elem_order", "value_num", "observations",
-        scored.alias("anomaly_score"),
-    )
-
-
-def _mass_of_rows(depth: int, cap: int | None):
-    """Total mass on the paths of each row, from the counts sorted in front of it; a node's mass is at most ``cap``."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_group, kept = None, None  # counts of the group a batch ends in
-        for pdf in batches:
-            group = list(zip(pdf["asset_id"], pdf["window"], pdf["piece"]))
-            number = np.zeros(len(pdf), dtype="int64")
-            number[1:] = np.cumsum([a != b for a, b in zip(group[1:], group[:-1])])
-            is_state = pdf["role"].to_numpy() == 0
-            owners, codes, counts = [], [], []
-            if kept is not None and group[0] == last_group:
-                owners, codes, counts = [np.zeros(len(kept[0]), "int64")], [kept[0]], [kept[1]]
-            for i in np.flatnonzero(is_state):
-                codes.append(np.asarray(pdf["codes"].iat[i], dtype="int64"))
-                counts.append(np.asarray(pdf["counts"].iat[i], dtype="int64"))
-                owners.append(np.full(len(codes[-1]), number[i]))
-            owner = np.concatenate(owners) if owners else np.zeros(0, "int64")
-            code = np.concatenate(codes) if codes else np.zeros(0, "int64")
-            count = np.concatenate(counts) if counts else np.zeros(0, "int64")
-            mine = owner == number[-1]
-            last_group, kept = group[-1], (code[mine], count[mine])
-
-            rows = pdf[~is_state]
-            total = np.zeros(len(rows), dtype="int64")
-            known = rows["codes"].notna().to_numpy()
-            if known.any() and len(code):
-                span = int(code.max()) + (1 << depth)
-                path = owner[:, None] * span + path_codes(code, depth)
-                nodes, where = np.unique(path.ravel(), return_inverse=True)
-                mass = np.bincount(where, weights=np.repeat(count, depth)).astype("int64")
-                mass = mass if cap is None else np.minimum(mass, cap)
-                wanted = np.stack(rows["codes"][known].to_numpy()).astype("int64")
-                # A code above the span belongs to a tree without counts in this batch.
-                ask = path_codes(wanted, depth)
-                inside = ask < span
-                ask = number[~is_state][known][:, None, None] * span + ask
-                at = np.minimum(np.searchsorted(nodes, ask), len(nodes) - 1)
-                hit = inside & (nodes[at] == ask)
-                total[known] = np.where(hit, mass[at], 0).sum(axis=(1, 2))
-            columns = ["asset_id", "path", "timestamp_ms", "elem_order", "value_num", "observations"]
-            yield rows[columns].assign(total_mass=total)
-
-    return run
+    return totals.select(*columns, "observations", scored.alias("anomaly_score"))
 
 
 def classify(
@@ -336,15 +436,13 @@ def detect_batch(metrics: DataFrame, schema_results: DataFrame, **options) -> Da
 
 
 def observation_estimate(
-    mass: DataFrame, ranges: DataFrame, trees: int = TREES, depth: int = DEPTH
+    totals: DataFrame, ranges: DataFrame, trees: int = TREES, depth: int = DEPTH
 ) -> DataFrame:
-    """Mean over trees of floor(mass / nodes), next to the true reference row count."""
+    """Mean over trees of floor(mass / nodes) of :func:`tree_totals`, next to the true reference row count."""
     nodes = (1 << (depth + 1)) - 1
-    per_tree = mass.groupBy("asset_id", "window", "tree").agg(
-        F.floor(F.sum("mass") / nodes).cast("bigint").alias("n")
-    )
-    estimate = per_tree.groupBy("asset_id", "window").agg(
-        F.floor(F.sum("n") / trees).cast("bigint").alias("estimate")
+    per_tree = F.floor(F.col("mass") / nodes).cast("bigint")
+    estimate = totals.groupBy("asset_id", "window").agg(
+        F.floor(F.sum(per_tree) / trees).cast("bigint").alias("estimate")
     )
     return estimate.join(
         ranges.select("asset_id", "window", "reference_rows"), ["asset_id", "window"]

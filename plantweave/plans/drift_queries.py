@@ -208,10 +208,7 @@ def anomaly_features(spark, sf):
       CAST(sum(mass * node) AS BIGINT) AS weighted FROM mass GROUP BY ALL""",
 )
 def anomaly_mass(spark, sf):
-    mass = anomaly.reference_mass(v.metrics(spark, sf))
-    return mass.groupBy("asset_id", "window", "tree").agg(
-        F.count(F.lit(1)).alias("nodes"), F.sum("mass").alias("mass"), F.sum(F.col("mass") * F.col("node")).alias("weighted")
-    )
+    return anomaly.tree_totals(v.metrics(spark, sf))
 
 
 @query("anomaly_scores", f"WITH RECURSIVE {_FOREST} SELECT asset_id, elem_order, observations, round(score, 9) AS score FROM scores")
@@ -301,7 +298,7 @@ def anomaly_batch(spark, sf):
 )
 def anomaly_observations(spark, sf):
     rows = v.metrics(spark, sf)
-    return anomaly.observation_estimate(anomaly.reference_mass(rows), anomaly.reference_windows(rows))
+    return anomaly.observation_estimate(anomaly.tree_totals(rows), anomaly.reference_windows(rows))
 
 
 _DRIFTS = "drifts AS (SELECT * FROM results WHERE is_drift)"
