@@ -126,15 +126,16 @@ def object_flags(spark, sf):
     pages = v.table(spark, sf, "pages").select("page_id", "url", F.col("html").alias("content"))
     tag = F.concat(F.lit("v"), F.col("page_id"))
     current = pages.select(
-        "url", F.when(F.col("page_id") % 4 == 0, tag).alias("version_tag"), "content"
+        "page_id", "url", F.when(F.col("page_id") % 4 == 0, tag).alias("version_tag"), "content"
     )
     # Same tag but other text; no tag and same text; no tag and other text; not seen before.
     previous = pages.filter("page_id % 4 <> 3").select(
-        "url",
+        "page_id",
         F.when(F.col("page_id") % 4 == 0, tag).alias("version_tag"),
         F.when(F.col("page_id") % 4 == 1, F.col("content")).otherwise("old").alias("content"),
     )
-    return documents.changed_objects(current, previous)
+    # Several pages may have one url; each is an object of its own.
+    return documents.changed_objects(current, previous, ["page_id"])
 
 
 @query("changed_objects", _OBJECTS)

@@ -59,19 +59,21 @@ def changed_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
     )
 
 
-def changed_objects(current: DataFrame, previous: DataFrame) -> DataFrame:
+def changed_objects(current: DataFrame, previous: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Per (url, version_tag, content): whether it changed since the previous snapshot.
 
-    Equal tags mean unchanged; otherwise the content hashes decide.
+    Equal tags mean unchanged; otherwise the content hashes decide. ``keys`` tell which rows are the
+    same object, the url if nothing else does. One row per current row, however many versions of its
+    object the previous snapshot holds: one that is unchanged is enough. An object without any has changed.
     """
-    before = previous.select(
-        "url", F.col("version_tag").alias("_tag"), F.sha2("content", 256).alias("_hash")
-    )
-    same_tag = F.col("version_tag").isNotNull() & (F.col("version_tag") == F.col("_tag"))
-    digest = F.sha2("content", 256)
-    return current.join(before, "url", "left").select(
-        "url",
-        F.when(same_tag, False).otherwise(~digest.eqNullSafe(F.col("_hash"))).alias("changed"),
+    keys = keys or ["url"]
+    digest = F.coalesce(F.sha2("content", 256), F.lit("")).alias("_hash")
+    tags = previous.select(*keys, F.col("version_tag").alias("_tag")).dropna().distinct().withColumn("_same_tag", F.lit(True))
+    hashes = previous.select(*keys, digest).dropna().distinct().withColumn("_same_hash", F.lit(True))
+    return (
+        current.withColumn("_tag", F.col("version_tag")).withColumn("_hash", digest)
+        .join(tags, [*keys, "_tag"], "left").join(hashes, [*keys, "_hash"], "left")
+        .select("url", F.coalesce("_same_tag", "_same_hash").isNull().alias("changed"))
     )
 
 
