@@ -30,6 +30,7 @@ from plantweave.operators.fidelity import path_depth
 from plantweave.operators.mapping import alert_topic
 from plantweave.operators.ordered import spread, top_per_key
 from plantweave.operators.throttle import cooldown
+from plantweave.session import shared_folder
 
 TREES, DEPTH, WINDOW, SEED = 25, 10, 1000, 42
 FEATURES = 5
@@ -461,8 +462,14 @@ def history(results: DataFrame, n: int) -> DataFrame:
 def severe_alerts(
     results: DataFrame, cooldown_ms: int = 300_000, prefix: str = "UNS/Sys/StreamingDriftAlerts"
 ) -> DataFrame:
-    """High and critical results, at most one per asset and cooldown."""
-    severe = results.filter(F.col("severity").isin("high", "critical"))
+    """High and critical results, at most one per asset and cooldown.
+
+    They are written to the shared folder first: the cooldown reads its rows several times, and each
+    time would score all rows again.
+    """
+    stored = shared_folder(results.sparkSession, "severe")
+    results.filter(F.col("severity").isin("high", "critical")).write.parquet(stored)
+    severe = results.sparkSession.read.parquet(stored)
     kept = cooldown(severe, ["asset_id"], "timestamp_ms", ["path"], cooldown_ms)
     payload = json_object(
         ("isDrift", F.lit("true")),

@@ -332,7 +332,7 @@ fired(k, t) AS (SELECT k, ts[1] FROM times UNION ALL
     SELECT k AS asset_id, t AS timestamp_ms, 'UNS/Sys/StreamingDriftAlerts/' || {v.sql_segment("replace(k, 'https://', '')")} AS topic FROM fired""",
 )
 def anomaly_alerts(spark, sf):
-    drifts = results_of(spark, sf).filter("is_drift")
+    drifts = results_of(spark, sf).filter("is_drift").select(*anomaly.RESULT)
     return anomaly.severe_alerts(drifts, COOLDOWN_MS).select("asset_id", "timestamp_ms", "topic")
 
 
