@@ -6,6 +6,7 @@ bounds, in event-time order. They give the same rows as the batch operators.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from plantweave.operators import anomaly, dedup
+from plantweave.operators import anomaly, dedup, online
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -23,6 +24,14 @@ def _ordered(rows: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
     return pd.concat(list(rows)).sort_values(list(order), kind="stable")
 
 
+def _columns(rows: Iterator[pd.DataFrame], ts: str, order: str, *rest: str) -> list[np.ndarray]:
+    """Columns of a key's rows in their order; without a data frame's sort, which costs more than a short key's work."""
+    parts = list(rows)
+    columns = [np.concatenate([p[c].to_numpy() for p in parts]) for c in (ts, order, *rest)]
+    place = sorted(range(len(columns[0])), key=list(zip(columns[0].tolist(), columns[1].tolist())).__getitem__)
+    return [c[place] for c in columns]
+
+
 class Cooldown(StatefulProcessor):
     """Emit a row if enough time passed since the last emitted one."""
 
@@ -125,49 +134,35 @@ class Lifecycle(StatefulProcessor):
 
 
 class Forest(StatefulProcessor):
-    """Score each observation against the masses so far, then count it."""
+    """Score each observation against the masses so far, then count it.
+
+    The state holds the counts of the last nodes that any row reached, so it grows with the
+    rows of its key up to the size of the trees, and is small for a key of few rows.
+    """
 
     def __init__(self, trees: int, depth: int, window: int, seed: int):
         self.shape = (trees, depth, window, seed)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        trees, depth, _, seed = self.shape
-        self.dims, self.splits = anomaly.tree_arrays(trees, depth, seed)
-        self.model = handle.getValueState("model", "mass binary, lo array<double>, hi array<double>, n bigint")
+        self.trees = online.Replay(*self.shape)
+        self.model = handle.getValueState("model", "counts binary, lo array<double>, hi array<double>, n bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        trees, depth, window, _ = self.shape
-        inner = (1 << depth) - 1
-        pdf = _ordered(rows, "ts", "ord")
-        if self.model.exists():
-            raw, lo, hi, n = self.model.get()
-            mass = np.frombuffer(raw, dtype="int32").reshape(trees, inner).copy()
-            lo, hi = np.array(lo), np.array(hi)
-        else:
-            mass, lo, hi, n = np.zeros((trees, inner), dtype="int32"), None, None, 0
-        tree = np.arange(trees)[:, None]
-        up = np.arange(depth)
-
-        def path(x: np.ndarray) -> np.ndarray:
-            span = np.where(hi > lo, hi - lo, 1.0)
-            scaled = np.where(hi > lo, (x - lo) / span, 0.5)[None, :]
-            last = anomaly.last_nodes(scaled, self.dims, self.splits, depth)[0]
-            return ((last[:, None] + 1) >> up) - 1
-
-        scores = []
-        for x in np.stack(pdf["f"].to_numpy()):
-            if n == 0:
-                scores.append(0.5)
-                lo, hi = x.copy(), x.copy()
-            else:
-                total = int(mass[tree, path(x)].sum())
-                scores.append(1.0 - total / (trees * depth * window))
-                lo, hi = np.minimum(lo, x), np.maximum(hi, x)
-            at = path(x)
-            mass[tree, at] = np.minimum(mass[tree, at] + 1, window)
-            n += 1
-        self.model.update((mass.tobytes(), lo.tolist(), hi.tolist(), n))
-        yield pdf[["k", "ts", "ord"]].assign(score=scores)
+        trees = self.trees
+        ts, order, f = _columns(rows, "ts", "ord", "f")
+        trees.start()
+        stored = self.model.get()
+        if stored is not None:
+            raw, lo, hi, trees.seen = stored
+            trees.load(*np.frombuffer(zlib.decompress(raw), dtype="int32").reshape(2, -1))
+            trees.low, trees.high = np.array(lo), np.array(hi)
+        first = trees.seen == 0
+        scores = 1.0 - trees.run(np.stack(f)) / (len(trees.dims) * trees.depth * trees.window)
+        if first:
+            scores[0] = 0.5
+        raw = zlib.compress(np.stack(trees.last_counts()).astype("int32").tobytes(), 1)
+        self.model.update((raw, trees.low.tolist(), trees.high.tolist(), trees.seen))
+        yield pd.DataFrame({"k": key[0], "ts": ts, "ord": order, "score": scores})
 
     def close(self) -> None:
         pass
