@@ -13,17 +13,12 @@ _GOOD = "p_partkey % 97 <> 0 AND p_partkey % 89 <> 0"
 _ASSET = "CASE WHEN p_partkey % 11 <> 0 THEN 'https://example.com/aas/part-' || p_partkey WHEN p_partkey % 7 = 0 THEN 'https://example.com/aas/part-' || p_partkey || '-old' END"
 
 
-def parsed(spark, sf):
-    return documents.parse_documents(v.documents_json(spark, sf))
-
-
 @query(
     "documents_parsed",
     f"SELECT 'part-' || p_partkey || '.json' AS source, {_GOOD} AS ok FROM part",
 )
 def documents_parsed(spark, sf):
-    good, bad = parsed(spark, sf)
-    return good.select("source", F.lit(True).alias("ok")).union(bad.select("source", F.lit(False)))
+    return documents.parse_states(v.documents_json(spark, sf))
 
 
 @query("submodel_links", f"SELECT 'urn:sm:' || p_partkey AS submodel_id, {_ASSET} AS asset_id FROM part WHERE {_GOOD}")

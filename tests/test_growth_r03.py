@@ -26,3 +26,11 @@ def test_state_of_the_trees_follows_the_rows_of_its_key(n):
     again.seen, again.low, again.high = trees.seen, trees.low, trees.high
     assert (again.mass == trees.mass).all()
     assert np.concatenate([first, again.run(f[n:])]).tolist() == whole.tolist()
+
+
+def test_every_document_is_parsed_once(spark):
+    from plantweave.plans import document_queries
+
+    frame = document_queries.documents_parsed(spark, "/root/testdata/sf0.001")
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(") == 1 and plan.count("Join") == 1
