@@ -104,16 +104,19 @@ def _leaves_of(language: str) -> str:
     end"""
 
 
-def _members(source: str, path: str, order: str) -> str:
-    """Elements of a list variant with their paths; ``c`` is the element, ``i`` its position."""
-    listed = f"coalesce(try_variant_get({source}, '$', 'array<variant>'), array())"
-    parts = f"transform({listed}, c -> try_variant_get(c, '$', '{_ELEMENT}'))"
+def _placed(parts: str, path: str, order: str) -> str:
+    """Listed elements with their paths; ``c`` is the element, ``i`` its position."""
     return (
         f"transform({parts}, (c, i) -> named_struct('el', c, 'path', {path}, "
         f"'ord', concat({order}, '/', lpad(i, 10, '0'))))"
     )
 
 
+def _members(source: str, path: str, order: str) -> str:
+    """Elements of a list variant, read in one cast: a variant taken out of another is built anew."""
+    return _placed(f"coalesce(try_variant_get({source}, '$', 'array<{_ELEMENT}>'), array())", path, order)
+
+
 def _children_of() -> str:
     """Elements one level down."""
     named = "concat(e.path, '.', coalesce(nullif(c.idShort, ''), 'unnamed'))"
@@ -125,18 +128,26 @@ def _children_of() -> str:
     end"""
 
 
-def walk(submodel: str, root: str, language: str = "en") -> Column:
-    """All leaves of a submodel variant, however deep: each level opens a list, so the brackets bound the levels."""
+#: Levels that are walked before the brackets of the text are counted.
+_SHALLOW = 6
+
+
+def walk(elements: str, root: str, language: str = "en") -> Column:
+    """All leaves below a list of elements, however deep.
+
+    Each level opens a list, so the brackets of the text bound the levels; they are only counted
+    where elements are left after the first few levels.
+    """
     named = f"concat({root}, '.', coalesce(nullif(c.idShort, ''), 'unnamed'))"
-    start = _members(f"try_variant_get({submodel}, '$.submodelElements', 'variant')", named, "''")
-    levels = f"size(split(to_json({submodel}), '\\\\['))"
-    body = f"""aggregate(sequence(1, {levels}),
-      named_struct('todo', cast({start} as {_FRONTIER}), 'found', cast(array() as {_LEAVES})),
-      (acc, depth) -> if(size(acc.todo) = 0, acc, named_struct(
+    start = _placed(f"coalesce({elements}, array())", named, "''")
+    step = f"""(acc, depth) -> if(size(acc.todo) = 0, acc, named_struct(
         'todo', cast(flatten(transform(acc.todo, e -> {_children_of()})) as {_FRONTIER}),
-        'found', cast(concat(acc.found, flatten(transform(acc.todo, e -> {_leaves_of(language)}))) as {_LEAVES}))),
-      acc -> acc.found)"""
-    return F.expr(body)
+        'found', cast(concat(acc.found, flatten(transform(acc.todo, e -> {_leaves_of(language)}))) as {_LEAVES})))"""
+    begin = f"named_struct('todo', cast({start} as {_FRONTIER}), 'found', cast(array() as {_LEAVES}))"
+    top = f"aggregate(sequence(1, {_SHALLOW}), {begin}, {step})"
+    levels = f"sequence(1, size(split(to_json({elements}), '\\\\[')))"
+    rest = f"aggregate(if(size(t.todo) = 0, cast(array() as array<int>), {levels}), t, {step}, acc -> acc.found)"
+    return F.expr(f"get(transform(array({top}), t -> {rest}), 0)")
 
 
 def shells(documents: DataFrame) -> DataFrame:
@@ -166,37 +177,40 @@ def submodel_assets(documents: DataFrame) -> DataFrame:
     return latest_per_key(shells(documents), ["submodel_id"], order).select("submodel_id", "asset_id")
 
 
+# Members that are read of a submodel and of a shell.
+_SUBMODEL = (
+    "struct<id:string,idShort:string,semanticId:struct<keys:array<struct<value:string>>>,"
+    f"submodelElements:array<{_ELEMENT}>>"
+)
+_SHELL = (
+    "struct<assetInformation:struct<globalAssetId:string>,"
+    "submodels:array<struct<keys:array<struct<value:string>>>>>"
+)
+
+
 def _submodel_rows(documents: DataFrame) -> DataFrame:
-    field = lambda path: F.expr(f"try_variant_get(sm, '$.{path}', 'string')")
-    first_key = F.expr(
-        "get(filter(transform(try_variant_get(sm, '$.semanticId.keys', "
-        "'array<struct<value:string>>'), k -> k.value), v -> v is not null), 0)"
-    )
+    first_key = F.expr("get(filter(transform(sm.semanticId.keys, k -> k.value), v -> v is not null), 0)")
     # Links and submodels of a document share a row, so the lookup needs no join.
     links = F.expr(
-        "flatten(transform(coalesce(try_variant_get(doc, '$.assetAdministrationShells', "
-        "'array<variant>'), array()), s -> transform(coalesce(try_variant_get(s, '$.submodels', "
-        "'array<struct<keys:array<struct<value:string>>>>'), array()), r -> named_struct("
-        "'submodel', get(r.keys, 0).value, "
-        "'asset', nullif(try_variant_get(s, '$.assetInformation.globalAssetId', 'string'), '')))))"
+        f"flatten(transform(coalesce(try_variant_get(doc, '$.assetAdministrationShells', 'array<{_SHELL}>'), array()), "
+        "s -> transform(coalesce(s.submodels, array()), r -> named_struct("
+        "'submodel', get(r.keys, 0).value, 'asset', nullif(s.assetInformation.globalAssetId, '')))))"
     )
     asset = F.expr(
-        "try_element_at(filter(links, l -> l.asset is not null "
-        "and l.submodel = try_variant_get(sm, '$.id', 'string')), -1).asset"
+        "try_element_at(filter(links, l -> l.asset is not null and l.submodel = sm.id), -1).asset"
     )
-    members = F.expr("try_variant_get(doc, '$.submodels', 'array<variant>')")
-    # Only the links travel with each submodel, not the whole document.
-    parts = documents.select("source", "event_ts", links.alias("links"), members.alias("members"))
-    exploded = F.posexplode("members").alias("sm_pos", "sm")
-    return parts.select("source", "event_ts", "links", exploded).select(
+    # Only the links travel with each submodel, not the whole document. The list is exploded as it is read:
+    # from a column Spark would infer a filter and parse the document once more for it.
+    members = F.posexplode(F.expr(f"try_variant_get(doc, '$.submodels', 'array<{_SUBMODEL}>')"))
+    return documents.select("source", "event_ts", links.alias("links"), members.alias("sm_pos", "sm")).select(
         "source",
         "event_ts",
         "sm_pos",
         asset.alias("asset_id"),
-        field("id").alias("submodel_id"),
-        field("idShort").alias("submodel"),
+        F.col("sm.id").alias("submodel_id"),
+        F.col("sm.idShort").alias("submodel"),
         first_key.alias("submodel_semantic_id"),
-        "sm",
+        F.col("sm.submodelElements").alias("elements"),
     )
 
 
@@ -211,7 +225,7 @@ def flatten_documents(documents: DataFrame, language: str = "en") -> DataFrame:
     ``documents`` has source, event_ts and doc (a variant, NULL when quarantined).
     """
     named = _submodel_rows(documents).filter(F.coalesce(F.col("submodel"), F.lit("")) != "")
-    linked = named.withColumn("leaf", F.explode(walk("sm", "submodel", language)))
+    linked = named.withColumn("leaf", F.explode(walk("elements", "submodel", language)))
     value_type = types.xsd_name(F.col("leaf.value_type"))
     typed = types.typed_value(F.col("value_type"), F.col("leaf.literal"))
     return linked.withColumn("value_type", value_type).select(

@@ -34,3 +34,24 @@ def test_every_document_is_parsed_once(spark):
     frame = document_queries.documents_parsed(spark, "/root/testdata/sf0.001")
     plan = frame._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson(") == 1 and plan.count("Join") == 1
+
+
+def test_walk_takes_no_variant_out_of_a_variant_twice_nor_its_text(spark):
+    """Levels below the first few are found too; the text is not printed again to bound them."""
+    import json
+
+    from plantweave.operators import flatten
+    from plantweave.sources import documents
+
+    def deep(n):
+        inner = [{"modelType": "Property", "idShort": "leaf", "value": n}]
+        for i in range(n):
+            inner = [{"modelType": "SubmodelElementCollection", "idShort": f"c{i}", "value": inner}]
+        return json.dumps({"submodels": [{"idShort": "S", "id": "s", "submodelElements": inner}]})
+
+    depths = [0, 1, flatten._SHALLOW - 1, flatten._SHALLOW, flatten._SHALLOW + 1, 60]
+    texts = spark.createDataFrame([(str(n), n, deep(n)) for n in depths], "source string, event_ts long, content string")
+    rows = flatten.flatten_documents(documents.with_doc(texts))
+    assert {r.timestamp_ms: (r.path.count("."), r.value) for r in rows.collect()} == {n: (n + 1, str(n)) for n in depths}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrayType(VariantType" not in plan and plan.count("parseJson(") == 1
