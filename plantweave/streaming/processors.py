@@ -2,12 +2,17 @@
 
 Each takes the rows of one key in a micro-batch, whose size the source's rate limit
 bounds, in event-time order. They give the same rows as the batch operators.
+
+A call of a processor costs milliseconds, whatever its rows. Where keys are many and a key's
+work is small, a call takes the keys of one bucket and the state is a map from key to entry.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -18,6 +23,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from plantweave.operators import anomaly, dedup, online
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BUCKETS = 1024
 
 
 def _ordered(rows: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
@@ -57,24 +63,26 @@ class Cooldown(StatefulProcessor):
 
 
 class Changed(StatefulProcessor):
-    """Emit a row if its value hash differs from the stored one or the entry expired."""
+    """Emit a row if its value hash differs from the stored one or the entry expired; takes a bucket of keys."""
 
     def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.entry = handle.getValueState("entry", "hash string, created_at bigint")
+        self.entries = handle.getMapState("entries", "k string", "hash string, created_at bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _ordered(rows, "ts", "ord")
-        stored, created = self.entry.get() if self.entry.exists() else (None, None)
+        pdf = _ordered(rows, "k", "ts", "ord")
+        known = self.entries.exists()  # a bucket's first batch asks for no entry
         keep = []
-        for ts, digest in zip(pdf["ts"].to_numpy(), pdf["hash"]):
-            if created is None or (self.ttl_ms is not None and created <= ts - self.ttl_ms):
-                stored, created = None, int(ts)
-            keep.append(digest != stored)
-            stored = digest
-        self.entry.update((stored, created))
+        for k, mine in groupby(zip(pdf["k"], pdf["ts"].tolist(), pdf["hash"]), itemgetter(0)):
+            stored, created = (known and self.entries.getValue((k,))) or (None, None)
+            for _, ts, digest in mine:
+                if created is None or (self.ttl_ms is not None and created <= ts - self.ttl_ms):
+                    stored, created = None, ts
+                keep.append(digest != stored)
+                stored = digest
+            self.entries.updateValue((k,), (stored, created))
         yield pdf[keep][["k", "ts", "ord", "hash"]]
 
     def close(self) -> None:
@@ -177,6 +185,11 @@ def _event_time(df: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFra
     return df.withColumn("event_time", F.timestamp_millis(ts)).withWatermark("event_time", delay)
 
 
+def _in_buckets(rows: DataFrame, buckets: int) -> DataFrame:
+    """Deal rows by a bucket of ``k``; it is a key's place in the state, so a checkpoint keeps its number of buckets."""
+    return rows.withColumn("bucket", F.pmod(F.hash("k"), F.lit(buckets))).repartition("bucket")
+
+
 def cooldown_stream(rows: DataFrame, cooldown_ms: int) -> DataFrame:
     """``rows`` has k, ts and ord; gives the emitted ones."""
     return rows.groupBy("k").transformWithStateInPandas(
@@ -184,10 +197,13 @@ def cooldown_stream(rows: DataFrame, cooldown_ms: int) -> DataFrame:
     )
 
 
-def changed_stream(rows: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """``rows`` has k, ts, ord and value_json; gives the changed ones."""
-    hashed = rows.select("k", "ts", "ord", dedup.value_hash(F.col("value_json")).alias("hash"))
-    return hashed.groupBy("k").transformWithStateInPandas(
+def changed_stream(rows: DataFrame, ttl_ms: int | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """``rows`` has k, ts, ord and value_json; gives the changed ones. A task holds one bucket's rows of a batch."""
+    # Hashed behind the exchange, which also serves the grouping.
+    hashed = _in_buckets(rows, buckets).select(
+        "bucket", "k", "ts", "ord", dedup.value_hash(F.col("value_json")).alias("hash")
+    )
+    return hashed.groupBy("bucket").transformWithStateInPandas(
         Changed(ttl_ms), "k string, ts bigint, ord string, hash string", "Append", "None"
     )
 
